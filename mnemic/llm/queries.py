@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemic.llm import leakage, mixing, neardup, survivors
+from mnemic.llm import leakage, mixing, neardup, survivors, truncation, variants
 from mnemic.session import read
 
 
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    return variants.resolved(read(spark, d, "entities"), read(spark, d, "aliases"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.pairs(_resolved(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _resolved(spark, d)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(read(spark, d, "edges")).select("group_id", "keep_id")
 
@@ -44,7 +56,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_transitions, p4_found, p4_classes, p7_found, p7_overlaps, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.Truncation(read(spark, d, "documents")).cut().select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.Truncation(read(spark, d, "documents")).rates()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_survivors, p3_transitions, p4_found, p4_classes, p7_found, p7_overlaps, p8_mix, p8_shares, p9_found, p9_rates)}
 
 ORACLE = {
     "p3_found": """
