@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemic.llm import leakage, mixing, neardup, survivors, truncation, variants
+from mnemic.llm import leakage, mixing, neardup, pii, survivors, truncation, variants
 from mnemic.session import read
 
 
@@ -40,6 +40,14 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(read(spark, d, "documents")).classes()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.items(read(spark, d, "documents"), read(spark, d, "entities"))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(read(spark, d, "documents"), read(spark, d, "entities"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("item_id", "doc_id")
 
@@ -64,7 +72,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.Truncation(read(spark, d, "documents")).rates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_survivors, p3_transitions, p4_found, p4_classes, p7_found, p7_overlaps, p8_mix, p8_shares, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_survivors, p3_transitions, p4_found, p4_classes, p6_found, p6_redacted, p7_found, p7_overlaps, p8_mix, p8_shares, p9_found, p9_rates)}
 
 ORACLE = {
     "p3_found": """
