@@ -148,7 +148,7 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = ["head_id", "relation", "tail_id", "kind", "confidence", "flips", "held", "reinforced"]
-    df = pd.DataFrame([(h, r, s.tail, s.kind or None, s.confidence, s.flips, s.held, s.reinforced) for h, r, s in rows], columns=names)
+    df = pd.DataFrame([(h, r, s.tail, s.kind if s.tail is not None else None, s.confidence, s.flips, s.held, s.reinforced) for h, r, s in rows], columns=names)
     return df.astype({"tail_id": "Int64"})
 
 

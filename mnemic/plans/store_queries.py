@@ -269,4 +269,14 @@ ORACLE = {
       x as (select s.*, not quarantined and tail_id <> keep as demoted from s left join t on t.head_id = s.head_id and t.relation = s.relation)
       select id, head_id, relation, tail_id, kind, case when demoted then 0.05 else round(confidence, 6) end as confidence, quarantined or coalesce(demoted, false) as quarantined, demoted from x""",
     "values_guarded": _B + " select head_id, relation, tail_id from b where not quarantined and kind = 'operator'",
+    "belief_revise": _LOG.replace("with log", "with recursive log") + f""", o as (select *, row_number() over (partition by head_id, relation order by id) as rn, {_PREC.format('kind')} as p from log),
+  st(head_id, relation, rn, tail_id, kind, confidence, flips, held, reinforced) as (
+    select head_id, relation, 0::bigint, null::bigint, null::varchar, 0.0::double, 0::bigint, 0::bigint, 0::bigint from o where rn = 1
+    union all
+    select o.head_id, o.relation, o.rn, case when act then o.tail_id else st.tail_id end, case when act or same then o.kind else st.kind end,
+      case when same then least(1.0, greatest(st.confidence, o.confidence)) when act then o.confidence else st.confidence end, flips + act::int, held + (not act and not same)::int, reinforced + same::int
+    from st join o on o.head_id = st.head_id and o.relation = st.relation and o.rn = st.rn + 1,
+      lateral (select st.tail_id is not null and st.tail_id = o.tail_id as same) a,
+      lateral (select not same and case when st.tail_id is null then o.kind <> 'model' else o.p > {_PREC.format('st.kind')} or (o.p = {_PREC.format('st.kind')} and o.confidence >= st.confidence - 0.1) end as act) b)
+  select head_id, relation, last(tail_id order by rn) as tail_id, last(kind order by rn) as kind, round(last(confidence order by rn), 6) as confidence, max(flips) as flips, max(held) as held, max(reinforced) as reinforced from st group by 1, 2""",
 }
