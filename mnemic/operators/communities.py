@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mnemic.session import materialize
 
 
-def communities(pairs: DataFrame, nodes: DataFrame, rounds: int = 24, resolution: float = 1.0) -> DataFrame:
+def communities(pairs: DataFrame, nodes: DataFrame, rounds: int = 16, resolution: float = 1.0) -> DataFrame:
     """(id, community) from (a, b, weight) and (id)."""
     both = materialize(pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight")), "arcs")
     strength = materialize(both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")), "strength")
