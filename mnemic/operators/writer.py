@@ -12,6 +12,7 @@ from pyspark.sql.functions import udtf
 
 from mnemic.operators.planner import SENTENCE, SPAN, STOP, VERBS, _all
 from mnemic.schemas import MAX_WEIGHT
+from mnemic.session import spread
 
 # Coarse types of labels of named spans.
 COARSE = {"PERSON": "person", "ORG": "org", "GPE": "place", "LOC": "place", "FAC": "place", "DATE": "temporal", "TIME": "temporal", "EVENT": "event", "PRODUCT": "thing", "WORK_OF_ART": "thing"}
@@ -34,7 +35,7 @@ def candidates(text: Column) -> Column:
 def cooccurrences(documents: DataFrame) -> DataFrame:
     """(head, tail, n_sentences, n_docs): the first two candidates, in document order, that a sentence
     contains, summed over all sentences of all documents."""
-    s = documents.select("doc_id", candidates(F.col("text")).alias("c"), F.explode(_all(F.coalesce("text", F.lit("")), SENTENCE)).alias("s"))
+    s = spread(documents.select("doc_id", "text")).select("doc_id", candidates(F.col("text")).alias("c"), F.explode(_all(F.coalesce("text", F.lit("")), SENTENCE)).alias("s"))
     two = s.select("doc_id", F.slice(F.filter("c", lambda c: F.col("s").contains(c)), 1, 2).alias("t")).filter("size(t) = 2")
     pair = two.select("doc_id", F.col("t")[0].alias("head"), F.col("t")[1].alias("tail"))
     per = pair.groupBy("head", "tail", "doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -79,7 +80,7 @@ def triples(documents: DataFrame, extract=triples_of) -> DataFrame:
             out = [(d, *t) for d, text in zip(df["doc_id"], df["text"], strict=True) for t in extract(text)]
             yield pd.DataFrame(out, columns=["doc_id", "head", "relation", "tail"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, head string, relation string, tail string")
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id long, head string, relation string, tail string")
 
 
 def ingested(documents: DataFrame) -> DataFrame:
