@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemic.llm import words
+from mnemic.session import spread
 
 SPAN = 12
 #: Positions of a window that count, per mask. Any one substitution in a window of 12 is ignored by one.
@@ -130,7 +131,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_EXACT, su
     schema = "item_id long, doc_id long, n_words int, n_substituted int"
     found = spark.createDataFrame([], schema)
     masks = MASKS if substitutions else MASKS[:1]  # an exact overlap hits under any mask
-    docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    docs = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null"))
     for block in _blocks(items, masks):
         shared = spark.sparkContext.broadcast(block)  # bounded by BLOCK_SEEDS
         found = found.unionByName(docs.mapInArrow(_lazy(shared, min_words, substitutions), schema))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemic.session import materialize
+from mnemic.session import materialize, spread
 
 #: Place of the public tokenizer's ranks and its splitting pattern.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -64,7 +64,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     docs = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).filter("doc_id is not null and source is not null and text <> ''")
-    return docs.mapInArrow(count, "doc_id long, source string, n_tokens long").filter("n_tokens > 0")
+    return spread(docs).mapInArrow(count, "doc_id long, source string, n_tokens long").filter("n_tokens > 0")
 
 
 def split(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:

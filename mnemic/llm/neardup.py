@@ -16,9 +16,9 @@ Skew. Documents with equal n-gram sets are collapsed to a representative before
 documents of a band key are paired within a task only up to HOT of them; larger keys are cut into blocks
 whose pairs of blocks are spread over tasks.
 
-Defined results. Null texts and texts with fewer than n words have no n-grams and are in no pair. Ties and
-repeated rows: a doc_id that stands in several rows is taken once per distinct n-gram set. Empty tables give
-empty results. Extra columns are ignored.
+Defined results. Null texts and texts with fewer than n words have no n-grams and are in no pair. Repeated
+rows of a document count once; a doc_id is never paired with itself. Empty tables give empty results. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql.types import IntegerType
 
 from mnemic.llm import words
 from mnemic.operators.components import components
-from mnemic.session import materialize
+from mnemic.session import materialize, spread
 
 NGRAM, THRESHOLD = 3, 0.6
 BANDS, ROWS, MIN_HITS = 80, 3, 2
@@ -92,7 +92,7 @@ def _sketch(n: int, bands: int, rows: int):
 def sketches(documents: DataFrame, n: int = NGRAM, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, size, sig, keys): number of distinct n-grams, digest of their set, and the band keys."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
-    return docs.mapInArrow(_sketch(n, bands, rows), "doc_id long, size int, sig binary, keys array<long>")
+    return spread(docs).mapInArrow(_sketch(n, bands, rows), "doc_id long, size int, sig binary, keys array<long>")
 
 
 def _close(sa: str, sb: str, t: float) -> Column:
@@ -117,8 +117,13 @@ def candidates(reps: DataFrame, t: float, min_hits: int = MIN_HITS) -> DataFrame
     hot = live.filter(F.col("n") > HOT).withColumn("blocks", F.ceil(F.col("n") / HOT).cast("int")).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     every = hot.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.struct(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).alias("cell")
-    cells = every.select("key", "doc_id", "size", side)
-    pairs = pairs.unionByName(paired(cells, cells, ["key", "cell"]).distinct() if _any(hot) else pairs.limit(0))
+    cells = every.select("key", "doc_id", "size", "i", side)
+    one = F.col("cell.lo") == F.col("cell.hi")
+    # members of one block meet in every cell of their block; their pairs count in the cell of that block alone
+    x = cells.select("key", "cell", F.col("i").alias("ia"), F.col("doc_id").alias("a"), F.col("size").alias("size_a"))
+    y = cells.select("key", "cell", F.col("i").alias("ib"), F.col("doc_id").alias("b"), F.col("size").alias("size_b"))
+    met = x.join(y, ["key", "cell"]).filter((F.col("a") < F.col("b")) & _close("size_a", "size_b", t) & (one | (F.col("ia") != F.col("ib"))))
+    pairs = pairs.unionByName(met.select("a", "b", "size_a", "size_b")) if _any(hot) else pairs
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")).filter(F.col("hits") >= min_hits).drop("hits")
 
 
@@ -161,12 +166,14 @@ def _only(documents: DataFrame, ids: DataFrame) -> DataFrame:
 def verified(documents: DataFrame, pairs: DataFrame, n: int, t: float, fragments: int = FRAGMENTS) -> DataFrame:
     """Pairs of similarity t or more with their exact ``overlap``: partial counts per fragment, summed."""
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    segments = _only(documents, ids).dropDuplicates(["doc_id"]).mapInArrow(_segments(n, fragments), "doc_id long, fragment int, grams binary")
+    segments = spread(_only(documents, ids)).mapInArrow(_segments(n, fragments), "doc_id long, fragment int, grams binary")
     segments = materialize(segments, "segments")
     x = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("x"))
     y = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("y"))
-    partial = pairs.join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "size_a", "size_b", _overlap("x", "y").alias("part"))
-    total = partial.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("part").alias("overlap"))
+    partial = pairs.join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "fragment", "size_a", "size_b", _overlap("x", "y").alias("part"))
+    # repeated rows of a document have equal segments, of which one counts
+    once = partial.groupBy("a", "b", "fragment").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.max("part").alias("part"))
+    total = once.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("part").alias("overlap"))
     return total.filter(F.col("overlap") >= F.lit(t) * (F.col("size_a") + F.col("size_b") - F.col("overlap")) - 1e-9)
 
 
