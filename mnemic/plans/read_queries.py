@@ -284,4 +284,9 @@ ORACLE = {
       select query_id, n_retrieved, n_gold, n_hit, round(rec, 6) as recall, round(pre, 6) as precision, deductive, round((rec + 0.5 * pre + deductive) / 2.5, 6) as task, round((rec + 0.5 * pre + deductive) / 2.5, 6) as total from b""",
     "writer_update": """with g as (select id from entities where lower(type) in ('person', 'individual')), e as (select *, case when head_id in (from g) or tail_id in (from g) then 0.8 else -0.4 end as r from edges)
       select id, round(greatest(0.0, least(10.0, weight + case when r >= 0 then 0.5 * r else 0.25 * r end)), 6) as weight, case when r >= 0 then 1722000000.0::double else last_used end as last_used from e""",
+    "recall_lines": _ADDRESS + f""", tp as (select query_id, id from act qualify row_number() over (partition by query_id order by activation desc, id) <= 8), e as (select * from edges where not quarantined),
+      en as (select head_id as id, trim(lower(split_part(source, '#', 1))) as anchor from e union select tail_id, trim(lower(split_part(source, '#', 1))) from e),
+      dl as (select distinct query_id, 0 as p, doc_id as o, '- (' || anchor || ') ' || trim(text) as line from tp join en on en.id = tp.id join documents d using (anchor) where anchor <> '' and text <> ''),
+      rl as (select a.query_id, 1 as p, e.id as o, concat_ws(' ', '-', h.canonical, {_REL}, t.canonical) as line from e join tp a on a.id = head_id join tp b on b.id = tail_id and b.query_id = a.query_id join entities h on h.id = head_id join entities t on t.id = tail_id)
+      select query_id, row_number() over (partition by query_id order by p, o)::int as line_no, line from (select * from dl union all select * from rl) qualify line_no <= 8""",
 }

@@ -76,7 +76,9 @@ def candidate_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def isolated_entities(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "entities").filter("layer = 0").select("id").join(S.incidence(read(spark, d, "edges")).select("id"), "id", "left_anti")
+    """Leaf entities that head no active edge of the real class (set difference on ids)."""
+    heads = read(spark, d, "edges").filter("not quarantined and provenance_class = 'real'").select(F.col("head_id").alias("id"))
+    return read(spark, d, "entities").filter("layer = 0").select("id").join(heads, "id", "left_anti")
 
 
 def aliases_missing(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +240,7 @@ ORACLE = {
     "leaf_graph": "select id, head_id, tail_id, relation, weight from edges where not coalesce(quarantined, false) and head_id in (select id from entities where layer = 0) and tail_id in (select id from entities where layer = 0)",
     "induced_subgraph": f"select id, head_id, tail_id, relation from edges where head_id in (select id from entities where {_P}) and tail_id in (select id from entities where {_P})",
     "candidate_union": f"with {_NB} select id from entities where {_P} union select neighbour from nb where id in (select id from entities where {_P}) and neighbour in (select id from entities where layer = 0) union select id from entities where regexp_matches(canonical, '[0-9]')",
-    "isolated_entities": "select id from entities where layer = 0 and id not in (select head_id from edges where head_id is not null union select tail_id from edges where tail_id is not null)",
+    "isolated_entities": "select id from entities where layer = 0 and id not in (select head_id from edges where head_id is not null and not quarantined and provenance_class = 'real')",
     "aliases_missing": "select id as entity_id, canonical as surface from entities e where canonical is not null and not exists (select 1 from aliases a where a.entity_id = e.id and a.surface = e.canonical)",
     "docs_for_entities": f"""with p as (select id from entities where {_P}), s as (select distinct trim(lower(split_part(source, '#', 1))) as anchor from edges where trim(source) <> '' and (head_id in (from p) or tail_id in (from p)))
       select doc_id, anchor from documents where anchor in (from s)""",

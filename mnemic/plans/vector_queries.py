@@ -174,13 +174,26 @@ def _scaled(p: str) -> str:
 
 def _projection(kind: str) -> str:
     enc = ScalarEncoder(PARAMS, 16)
-    rows = ", ".join(f"('{p}', {j}, {enc.projection[i][j]!r}::double)" for i, p in enumerate(PARAMS) for j in range(16))
+    rows = ", ".join(f"('{p}', {j}, {float(enc.projection[i][j])!r}::double)" for i, p in enumerate(PARAMS) for j in range(16))
     x = " union all ".join(f"select l_returnflag, '{p}' as param, {_scaled(p)} as v from lineitem, b" for p in PARAMS)
     body = "tanh(v * w)" if kind == "real" else "case when abs(v * w) <= 0.01 then 0 else sign(v * w)::int end"
-    return f"{_B}, w(param, pos, w) as (values {rows.replace('np.float64(', '').replace(')::double', '::double')}), x as ({x}), y as (select l_returnflag, x.param, pos, {body} as x from x join w on x.param = w.param)"
+    return f"{_B}, w(param, pos, w) as (values {rows}), x as ({x}), y as (select l_returnflag, x.param, pos, {body} as x from x join w on x.param = w.param)"
+
+
+def _grouped() -> str:
+    enc = ScalarEncoder(PARAMS, 16)
+    rows = ", ".join(f"('{p}', {j}, {float(enc.projection[i][j])!r}::double)" for i, p in enumerate(PARAMS) for j in range(16))
+    x = " union all ".join(f"select row_id, l_returnflag, '{g}' as grp, '{p}' as param, {_scaled(p)} as v from line, b" for g, ps in GROUPS.items() for p in ps)
+    unit = "{0} / coalesce(nullif(sqrt(sum({0} * {0}) over (partition by {1})), 0), 1)"
+    return f"""{_B}, line as (select *, row_number() over () as row_id from lineitem), w(param, pos, w) as (values {rows}), x as ({x}),
+      g as (select row_id, l_returnflag, grp, pos, sum(tanh(v * w)) as s from x join w on x.param = w.param group by 1, 2, 3, 4),
+      u as (select row_id, l_returnflag, pos, {unit.format("s", "row_id, grp")} as s from g), t as (select row_id, l_returnflag, pos, sum(s) as s from u group by 1, 2, 3),
+      r as (select l_returnflag as label, pos, {unit.format("s", "row_id")} as s from t), c as (select label, pos, sum(s) as s from r group by 1, 2)
+      select label, pos, round({unit.format("s", "label")}, 5) as x from c"""
 
 
 ORACLE = {
+    "group_prototypes": _grouped(),
     "hv_bind": _LONG + " select a.vec_id, a.pos, round(a.x * b.x, 9) as x from e a join e b on b.vec_id = a.vec_id + 1 and b.pos = a.pos",
     "hv_cosine": _LONG + " select a.vec_id, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) as similarity from e a join e b on b.vec_id = a.vec_id + 1 and b.pos = a.pos group by 1",
     "hv_quantize": _TRIT + " select vec_id, count(*) filter (x = 1) as plus, count(*) filter (x = 0) as zero, count(*) filter (x = -1) as minus from t group by 1",

@@ -55,7 +55,7 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least one partition per core, for costly work per row.
 
     Only a table of fewer splits than there are cores (one small file, say) is redistributed; larger ones are
-    returned as they are, so at scale this adds no shuffle.
+    returned as they are, so at scale this adds no shuffle. To be used on scans, before any join or aggregate.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
