@@ -9,10 +9,10 @@ import unicodedata
 # Titles, given names with common short forms, legal forms, nouns of organisations.
 TITLES = frozenset("dr mr mrs ms miss mx prof professor rev capt sir dame".split())
 GIVEN = {
-    "abigail": "abby", "adelaide": "addie", "agnes": "aggie nessie", "alexander": "alex alec sandy", "andrew": "andy drew", "anthony": "tony",
+    "abigail": "abby abbie", "adelaide": "addie", "agnes": "aggie nessie", "alexander": "alex alec sandy", "andrew": "andy drew", "anthony": "tony",
     "caroline": "carrie caro", "catherine": "cat cathy kate", "charles": "charlie chuck", "christopher": "chris topher kit", "cornelius": "neil corny",
-    "edward": "ed eddie ted ned", "eleanor": "ellie nell", "elizabeth": "eliza liz beth betty", "emmeline": "emmy", "ernest": "ernie",
-    "felicity": "fliss flick", "ferdinand": "nando ferdie", "florence": "flo flossie", "francis": "frank", "frederick": "fred freddie freddy",
+    "edward": "ed eddie ted ned", "eleanor": "ellie nell nora", "elizabeth": "eliza liz beth betty", "emmeline": "emmy", "ernest": "ernie",
+    "felicity": "fliss flick", "ferdinand": "nando ferdie", "florence": "flo flossie florrie", "francis": "frank", "frederick": "fred freddie freddy",
     "gabriel": "gabe", "geoffrey": "geoff jeff", "georgina": "georgie gina", "gilbert": "gil bert", "gregory": "greg", "gwendolen": "gwen",
     "hannah": "nan", "harriet": "hattie", "helena": "helly nell", "henry": "hal hank harry", "horatio": "horry", "hubert": "hubie bert",
     "ignatius": "iggy", "imogen": "immy", "irving": "irv", "isaac": "ike zac", "isabella": "izzy bella", "jacqueline": "jackie", "james": "jamie jim jimmy",
@@ -24,7 +24,7 @@ GIVEN = {
     "rosalind": "ros rosie", "samuel": "sam", "sebastian": "seb bastian", "solomon": "sol solly", "stephanie": "steph", "stephen": "steve", "susannah": "sue susie",
     "ulrich": "uli", "ulysses": "uly", "ursula": "ursie", "valentine": "val", "veronica": "nica ronnie", "victoria": "vicky tori", "vincent": "vince", "virginia": "virgie ginny",
     "vivian": "viv", "wallace": "wal wally", "walter": "wat wally walt", "wilhelmina": "willa mina", "william": "bill will billy", "winifred": "winnie", "yasmin": "yas",
-    "yolanda": "yoli", "yvonne": "yvie", "zachary": "zac zack", "zebedee": "zeb", "zenobia": "zen", "zephyrine": "zeph",
+    "yolanda": "yoli", "yvonne": "yvie", "zachary": "zac zack zach", "zebedee": "zeb", "zenobia": "zen", "zephyrine": "zeph",
 }
 LEGAL = {
     "ltd": "ltd", "limited": "ltd", "inc": "inc", "incorporated": "inc", "llc": "llc", "limited liability company": "llc", "corp": "corp", "corpn": "corp", "corporation": "corp",

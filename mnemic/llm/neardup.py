@@ -158,7 +158,7 @@ def _overlap(x: pd.Series, y: pd.Series) -> pd.Series:
 
 def _only(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents with these ids: by a broadcast set where their counted number allows, else by a join."""
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null")
+    docs = spread(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null"))
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     return docs.join(wanted, "doc_id", "left_semi")
 
@@ -166,7 +166,7 @@ def _only(documents: DataFrame, ids: DataFrame) -> DataFrame:
 def verified(documents: DataFrame, pairs: DataFrame, n: int, t: float, fragments: int = FRAGMENTS) -> DataFrame:
     """Pairs of similarity t or more with their exact ``overlap``: partial counts per fragment, summed."""
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    segments = spread(_only(documents, ids)).mapInArrow(_segments(n, fragments), "doc_id long, fragment int, grams binary")
+    segments = _only(documents, ids).mapInArrow(_segments(n, fragments), "doc_id long, fragment int, grams binary")
     segments = materialize(segments, "segments")
     x = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("x"))
     y = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("y"))

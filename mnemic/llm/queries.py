@@ -85,4 +85,16 @@ with r as (
 )
 select min(id) as group_id, first(id order by prec desc, conf desc, rev desc, created_at desc, id) as keep_id
 from r group by head_id, tail_id, rel having count(*) >= 2""",
+    "p4_found": r"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+g as (select distinct doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+n as (select doc_id, count(*) as n from g group by 1),
+o as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as o from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2)
+select doc_a, doc_b from o join n x on x.doc_id = doc_a join n y on y.doc_id = doc_b where o >= 0.6 * (x.n + y.n - o) - 1e-9""",
+    "p7_found": r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items where text is not null),
+dg as (select distinct doc_id, array_to_string(w[k:k + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
+ig as (select distinct item_id, array_to_string(w[k:k + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i))
+select distinct item_id, doc_id from ig join dg on ig.g = dg.g""",
 }
