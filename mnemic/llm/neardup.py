@@ -102,9 +102,10 @@ def _close(sa: str, sb: str, t: float) -> Column:
 
 def candidates(reps: DataFrame, t: float, min_hits: int = MIN_HITS) -> DataFrame:
     """(a, b, size_a, size_b), a < b, of representatives that agree in at least ``min_hits`` bands."""
+    # most keys belong to one document only: the rows that are left are written once and all else reads them
     keyed = reps.select("doc_id", "size", F.explode("keys").alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = keyed.join(shared, "key")
+    live = materialize(keyed.join(shared, "key"), "keys")
 
     def paired(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         x = left.select(*on, F.col("doc_id").alias("a"), F.col("size").alias("size_a"))
@@ -184,8 +185,12 @@ class NearDuplicates:
     def __init__(self, documents: DataFrame, n: int = NGRAM, t: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, min_hits: int = MIN_HITS) -> None:
         sketched = materialize(sketches(documents, n, bands, rows), "sketches")
         first = sketched.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-        self.members = sketched.select("doc_id", "size", "sig").join(first, "sig").select("doc_id", "rep", "size").distinct()
-        reps = sketched.groupBy("sig").agg(F.min_by(F.struct("doc_id", "size", "keys"), "doc_id").alias("r")).select("r.*")
+        self.members = materialize(sketched.select("doc_id", "size", "sig").join(first, "sig").select("doc_id", "rep", "size").distinct(), "members")
+        # representatives keep their sketches where they are: copies, usually few, are taken out by id
+        copies = self.members.filter("doc_id <> rep").select("doc_id").distinct()
+        reps = sketched.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies.hint("merge"), "doc_id", "left_anti")
+        if sketched.count() != self.members.count():  # repeated rows
+            reps = reps.dropDuplicates(["doc_id"])
         pairs = materialize(candidates(reps, t, min_hits), "pairs")
         self.links = materialize(verified(documents, pairs, n, t), "links")
 
