@@ -52,11 +52,11 @@ def address_channels(spark: SparkSession, d: str) -> DataFrame:
 
 def address_softmax(spark: SparkSession, d: str) -> DataFrame:
     a = A.activations(materialize(_channels(spark, d, semantic=False), "channels"))
-    return a.select("query_id", "id", "score", F.round("activation", 7).alias("activation"))
+    return a.select("query_id", "id", "score", "activation")
 
 
 def address_topk(spark: SparkSession, d: str) -> DataFrame:
-    return A.top_k(A.activations(materialize(_channels(spark, d, semantic=False), "channels")), TOP).select("query_id", "rank", "id", F.round("activation", 7).alias("activation"))
+    return A.top_k(A.activations(materialize(_channels(spark, d, semantic=False), "channels")), TOP).select("query_id", "rank", "id", "activation")
 
 
 def address_semantic(spark: SparkSession, d: str) -> DataFrame:
@@ -258,8 +258,8 @@ ORACLE = {
     "plan_queries": _PLAN + " select query_id, array_to_string(mentions, '|') as mentions, array_to_string(aliases, '|') as aliases, array_to_string(relation_cues, '|') as relation_cues, array_to_string(constraints, '|') as constraints, target_type, intent, len(probes)::int as n_probes from plan",
     "plan_probes": _PLAN + " select query_id, unnest(range(len(probes)))::int as probe_no, unnest(probes) as text, 1.0::double as weight from plan union all select query_id, unnest(range(len(mentions)))::int, unnest(mentions), 0.5 from plan",
     "address_channels": _ADDRESS + ' select query_id, id, round(exact, 6) as exact, alias, semantic, type, "constraint", round(entity_link, 6) as entity_link from ch',
-    "address_softmax": _ADDRESS + " select query_id, id, score, round(activation, 7) as activation from act",
-    "address_topk": _ADDRESS + " select query_id, rank, id, round(activation, 7) as activation from (select *, row_number() over (partition by query_id order by activation desc, id)::int as rank from act) where rank <= 8",
+    "address_softmax": _ADDRESS + " select query_id, id, score, activation from act",
+    "address_topk": _ADDRESS + " select query_id, rank, id, activation from (select *, row_number() over (partition by query_id order by activation desc, id)::int as rank from act) where rank <= 8",
     "compose_subgraph": _PATHS + " select * from whole",
     "attribute_paths": _PATHS + " select pe.query_id, edge_id, round(coalesce(sum(pe.x * w.x) / nullif(sum(abs(pe.x * w.x)), 0), 0), 6) as similarity from pe join whole w on w.query_id = pe.query_id and w.pos = pe.pos group by 1, 2",
     "attribute_loo": _PATHS + """, own as (select query_id, 'entity' as level, u as key, pos, x * copies as s, copies as n from pe union all select query_id, 'entity', v, pos, x * copies, copies from pe where u <> v union all select query_id, 'edge', edge_id, pos, x * copies, copies from pe),
