@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemic.functions import vectors as V
 from mnemic.operators import addressing, beliefs, compose, encoder, hierarchy, planner, propagate, prototypes, roles, substrate, writer
-from mnemic.session import materialize
+from mnemic.session import materialize, ship
 from mnemic.sources.store import Store
 
 KERNELS = {"real": V.REAL_DIM, "ternary": V.TERNARY_DIM}
@@ -24,6 +24,7 @@ class Memory:
             raise ValueError(f"unknown kernel {kernel}")
         if temperature <= 0:
             raise ValueError("the temperature must be positive")
+        ship(spark)
         self.spark, self.store = spark, Store(spark, path)
         self.kernel, self.top_k, self.temperature, self.weights = kernel, top_k, temperature, weights
         self.extract, self.plan = extract, plan

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,21 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application: it is zipped and served by the
+    driver, so it need not be installed on the machines of a cluster."""
+    sc = spark.sparkContext
+    if getattr(sc, "_mnemic_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="mnemic-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/mnemic.zip", "w") as z:
+        for at, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(at, f), os.path.join("mnemic", os.path.relpath(os.path.join(at, f), package)))
+    sc.addPyFile(f"{folder}/mnemic.zip")
+    sc._mnemic_shipped = True
