@@ -11,8 +11,8 @@ short forms of given names understood.
 Names are compared once per distinct normal form, whatever the number of rows that carry it. A match on
 initials only counts if all full names it fits belong to one entity.
 
-Two surnames that differ are one only if they look like a typo: of two spellings that both consist of
-common letter sequences (three letters, counted over all surnames) neither is a misspelling of the other.
+Two surnames that differ are one only if one looks like a typo: it has a letter sequence (of three) that is
+rare among all surnames, or no other name is spelt like it and the two are nearly equal.
 
 Defined results. Null and empty names, names of one token, and names of places, things, events, concepts
 and summaries are never cases; ``type`` decides only where a name's form does not. Ties cannot arise;
@@ -36,6 +36,8 @@ from mnemic.session import materialize
 MIN_SUFFIX, MAX_SUFFIX, COMMON, CELL = 3, 16, 60, 128
 #: Least LCS ratio of surnames and of an organisation's words.
 SURNAME, WORD, SHORT_WORD = 0.8, 0.8, 0.75
+#: Least LCS ratio of two surnames of which one is spelt so once only.
+TYPO = 0.85
 #: A sequence of three letters is rare where fewer than this share of surnames have it.
 RARE = 0.0008
 _TYPED = {"person": "p", "individual": "p", "human": "p", "org": "o", "organisation": "o", "organization": "o", "company": "o"}
@@ -114,11 +116,11 @@ def candidates(forms: DataFrame) -> DataFrame:
     return cell.withColumnRenamed("norm_id", "a").join(cell.withColumnRenamed("norm_id", "b"), on).filter("a < b").select("a", "b").distinct()
 
 
-def _plausible(a: str, b: str, common: frozenset[str] | None) -> bool:
-    """Whether two different spellings can be one surname: one of them has a rare letter sequence."""
+def _plausible(a: str, b: str, common: frozenset[str] | None, single: bool) -> bool:
+    """Whether two different spellings can be one surname."""
     if a == b or common is None:
         return True
-    return not (_regular(a, common) and _regular(b, common))
+    return single and names.ratio(a, b) >= TYPO or not (_regular(a, common) and _regular(b, common))
 
 
 def _regular(word: str, common: frozenset[str]) -> bool:
@@ -126,11 +128,11 @@ def _regular(word: str, common: frozenset[str]) -> bool:
     return all(marked[i : i + 3] in common for i in range(len(marked) - 2))
 
 
-def _persons(x: list[str], y: list[str], common: frozenset[str] | None) -> int:
+def _persons(x: list[str], y: list[str], common: frozenset[str] | None, single: bool) -> int:
     best = 0
     for xs, xg in _splits(x):
         for ys, yg in _splits(y):
-            if min(len(xs), len(ys)) < 4 or names.ratio(xs, ys) < SURNAME or not xg or not yg or not _plausible(xs, ys, common):
+            if min(len(xs), len(ys)) < 4 or names.ratio(xs, ys) < SURNAME or not xg or not yg or not _plausible(xs, ys, common, single):
                 continue
             first = names.given_match(xg[0], yg[0])
             if not first:
@@ -181,14 +183,15 @@ def _organisations(x: list[str], y: list[str]) -> int:
     return 2
 
 
-def match(kind: str, a: str, b: str, common: frozenset[str] | None = None) -> int:
-    """0 different, 1 may be the same (given name as initial only), 2 the same."""
+def match(kind: str, a: str, b: str, common: frozenset[str] | None = None, single: bool = False) -> int:
+    """0 different, 1 may be the same (given name as initial only), 2 the same. ``common``: usual letter
+    sequences of surnames; ``single``: one of the two surnames is spelt so in one name only."""
     x, y = a.split(" "), b.split(" ")
     if kind == "o":
         return _organisations(x, y)
     if x == y:
         return 2 if sum(len(t) > 1 for t in x) > 1 else 1
-    return _persons(x, y, common)
+    return _persons(x, y, common, single)
 
 
 def common_sequences(forms: DataFrame) -> frozenset[str]:
@@ -211,18 +214,22 @@ def links(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     forms = named.select("kind", "norm").distinct().withColumn("norm_id", F.xxhash64("kind", "norm"))
     common = common_sequences(forms)
     pairs = candidates(forms)
-    by = forms.select("norm_id", "kind", "norm")
-    told = pairs.join(by.select(F.col("norm_id").alias("a"), "kind", F.col("norm").alias("x")), "a").join(by.select(F.col("norm_id").alias("b"), F.col("norm").alias("y")), "b")
+    longest = F.aggregate(F.split("norm", " "), F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    by = materialize(forms.withColumn("surname", longest), "forms")
+    spelt = by.groupBy("kind", "surname").agg((F.count(F.lit(1)) == 1).alias("single"))
+    by = by.join(spelt, ["kind", "surname"])
+    told = pairs.join(by.select(F.col("norm_id").alias("a"), "kind", F.col("norm").alias("x"), F.col("single").alias("sx")), "a").join(by.select(F.col("norm_id").alias("b"), F.col("norm").alias("y"), F.col("single").alias("sy")), "b")
 
     @F.pandas_udf(IntegerType())
-    def same(kind: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([match(k, p, q, common) for k, p, q in zip(kind, x, y, strict=True)], dtype="int32")
+    def same(kind: pd.Series, x: pd.Series, y: pd.Series, single: pd.Series) -> pd.Series:
+        return pd.Series([match(k, p, q, common, s) for k, p, q, s in zip(kind, x, y, single, strict=True)], dtype="int32")
 
-    matched = materialize(told.select("a", "b", same("kind", "x", "y").alias("m")).filter("m > 0"), "matches")
+    matched = materialize(told.select("a", "b", same("kind", "x", "y", F.col("sx") | F.col("sy")).alias("m")).filter("m > 0"), "matches")
     ids = named.withColumn("norm_id", F.xxhash64("kind", "norm")).withColumn("full", F.expr("kind = 'o' or size(filter(split(norm, ' '), t -> length(t) > 1)) > 1"))
+    ids = ids.withColumn("telling", F.expr("full or size(split(norm, ' ')) > 2"))  # two initials tell as much as a given name
     head = ids.groupBy("norm_id").agg(F.min("entity_id").alias("h"), F.max("full").alias("full"))
-    # entities that share a full normal form, then forms that match
-    shared = ids.filter("full").join(head.select("norm_id", "h"), "norm_id").select(F.col("entity_id").alias("a"), F.col("h").alias("b"))
+    # entities that share a telling normal form, then forms that match
+    shared = ids.filter("telling").join(head.select("norm_id", "h"), "norm_id").select(F.col("entity_id").alias("a"), F.col("h").alias("b"))
     strong = matched.filter("m = 2").join(head.select(F.col("norm_id").alias("a"), F.col("h").alias("ha")), "a").join(head.select(F.col("norm_id").alias("b"), F.col("h").alias("hb")), "b")
     sure = materialize(shared.union(strong.select("ha", "hb")).union(_through(ids)), "sure")
     groups = materialize(components(sure.filter("a is not null and b is not null")), "groups")
