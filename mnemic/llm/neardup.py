@@ -9,7 +9,7 @@ Counting overlaps for all pairs that share any n-gram is quadratic in the corpus
 n-gram's number of documents grows with the corpus), so the pairs that are counted are those whose segment
 heads agree: under each of BANDS x ROWS orders of the n-grams a document has a head, its least n-gram; a
 pair is a candidate if in at least MIN_HITS bands all ROWS heads are equal. A pair of similarity s agrees on
-a head with probability s, so a pair at exactly s = 0.6 is missed with probability 7e-8 (0.8: below 1e-30); the
+a head with probability s, so a pair at exactly s = 0.6 is missed with probability 8e-8 (at 0.8: 1e-23); the
 candidate search covers every document and has no cap.
 
 Skew. Documents with equal n-gram sets are collapsed to a representative before any pair is formed. The
