@@ -54,14 +54,14 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """(id, neighbour), distinct, in both directions; only neighbours in ``leaves`` (id) if given."""
-    e = edges.select("head_id", "tail_id").dropna().distinct()
-    both = e.select(F.col("head_id").alias("id"), F.col("tail_id").alias("neighbour")).union(e.select("tail_id", "head_id")).distinct()
+    ways = F.array(F.struct(F.col("head_id").alias("id"), F.col("tail_id").alias("neighbour")), F.struct(F.col("tail_id").alias("id"), F.col("head_id").alias("neighbour")))
+    both = edges.select("head_id", "tail_id").dropna().select(F.inline(ways)).distinct()
     return both if leaves is None else both.join(leaves.select(F.col("id").alias("neighbour")), "neighbour", "left_semi").select("id", "neighbour")
 
 
 def within(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ``ids`` (id)."""
-    i = ids.select("id").distinct()
+    i = ids.select("id")
     return edges.join(i.withColumnRenamed("id", "head_id"), "head_id", "left_semi").join(i.withColumnRenamed("id", "tail_id"), "tail_id", "left_semi")
 
 
@@ -72,9 +72,9 @@ def leaf_graph(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 def documents_for(ids: DataFrame, edges: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, anchor) of the distinct documents that edges at one of the ids name as source."""
-    i = ids.select("id").distinct()
-    e = edges.filter(F.trim("source") != "").select("head_id", "tail_id", F.trim(F.lower(F.substring_index("source", "#", 1))).alias("anchor"))
-    at = e.join(i.withColumnRenamed("id", "head_id"), "head_id", "left_semi").select("anchor").union(e.join(i.withColumnRenamed("id", "tail_id"), "tail_id", "left_semi").select("anchor")).distinct()
+    anchor = F.trim(F.lower(F.substring_index("source", "#", 1))).alias("anchor")
+    ends = edges.filter(F.trim("source") != "").select(F.explode(F.array("head_id", "tail_id")).alias("id"), anchor)
+    at = ends.join(ids.select("id"), "id", "left_semi").select("anchor").distinct()
     return documents.select("doc_id", "anchor").join(at, "anchor", "left_semi").select("doc_id", "anchor")
 
 
