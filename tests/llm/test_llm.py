@@ -165,6 +165,28 @@ def test_learned_precedence_fills_missing_times(spark):
     assert got[50].inferred_fields == []
 
 
+def test_values_without_a_time_take_part_in_mixed_groups(spark):
+    learned = [_edge(10 * g + k, kind, rev=1e9 + k, h=g) for g in range(5, 9) for k, kind in enumerate(["model", "document", "operator"])]
+    mixed = [_edge(1, "model"), _edge(2, "operator", rev=None)]  # the later value has no time
+    earlier = [_edge(3, "operator", h=2), _edge(4, "model", rev=None, h=2)]  # the earlier one has none
+    free = [_edge(5, "model", h=3), _edge(6, " Crawler ", rev=None, h=3)]  # nothing was learned of it
+    alone = [_edge(7, "import", h=4), _edge(8, " Crawler ", rev=1.5e9, h=4)]
+    got = {r.group_id: r for r in survivors.survivors(spark.createDataFrame(learned + mixed + earlier + free + alone, EDGE)).collect()}
+    assert [got[i].source_type for i in (1, 3, 5, 7)] == ["operator", "operator", "model", "other"]
+    assert [got[i].inferred_fields for i in (1, 3, 5, 7)] == [["source_type"], [], [], []]
+    assert [got[i].source_type_written for i in (1, 7)] == ["operator", "import"]
+
+
+def test_the_order_of_a_group_goes_before_what_was_learned():
+    values = ("operator", "document", "inference", "model", "other")
+    arcs = survivors.precedence([("model", "document", 9), ("document", "operator", 4)], values)
+    closed, order = survivors._closed(arcs, values), survivors._sorted(arcs, values)
+    assert closed["model", "operator"] == 4
+    # operator before model here, so 'document before operator' (4) gives way to 'model before document' (9)
+    assert survivors.latest(("operator", "model"), ("document",), closed, order) == "document"
+    assert survivors.latest(("operator", "model"), ("document",), {**closed, ("document", "operator"): 99}, order) == "model"
+
+
 def test_topological_order_breaks_cycles():
     order = survivors.topological([("a", "b", 9), ("b", "c", 5), ("c", "a", 1), ("b", "a", 2)], ("c", "b", "a"))
     assert order == ["a", "b", "c"]
