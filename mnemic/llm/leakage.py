@@ -11,8 +11,10 @@ of items; more items mean more blocks, each a scan of the documents. Documents a
 is read whole within the scan, so the cost is linear in their text and no key can be hot.
 
 Completeness. SPAN is at most the length of the shortest overlap that is asked for, so every exact overlap
-contains a window that hits under every mask. With substitutions, an overlap is found if some window of it
-has its substitutions at positions that one mask ignores.
+contains a window that hits under every mask. With substitutions, the positions of a window are dealt into
+classes, two more than substitutions are allowed or further, and there is a mask for every choice of as many
+classes to ignore as there are substitutions: wherever they fall, one mask ignores them all, so every overlap is
+found. A hit whose window differs in more words than are allowed belongs to no overlap and is dropped.
 
 Defined results. Null and empty texts have no words. Items with fewer words than the overlap asked for
 cannot leak. Items with equal text all count. Duplicate rows give one result. Empty tables give empty results.
@@ -21,6 +23,7 @@ cannot leak. Items with equal text all count. Duplicate rows give one result. Em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,23 @@ from mnemic.llm import words
 from mnemic.session import spread
 
 SPAN = 12
-#: Positions of a window that count, per mask. Any one substitution in a window of 12 is ignored by one.
-MASKS = ((0, 1, 3, 4, 6, 7, 9, 10), (1, 2, 4, 5, 7, 8, 10, 11), (0, 2, 3, 5, 6, 8, 9, 11))
+#: Numbers of classes that a window's positions are dealt into.
+CLASSES = (3, 4, 6, 12)
+#: Pairs of a window and a seed that are compared at a time.
+PAIRS = 1_000_000
 #: Most window hashes in one block of test items (8 bytes and an 8-byte position each).
 BLOCK_SEEDS = 2_000_000
 MIN_EXACT = 12
 
 
+def cover(substitutions: int) -> tuple[tuple[int, ...], ...]:
+    """Positions of a window that count, per mask: any ``substitutions`` positions are ignored by one of them."""
+    if not 0 <= substitutions <= SPAN - 2:
+        raise ValueError(f"a window of {SPAN} words bears 0 to {SPAN - 2} substitutions")
+    n = next(c for c in CLASSES if c >= substitutions + 2)
+    return tuple(tuple(p for p in range(SPAN) if p % n not in ignored) for ignored in combinations(range(n), substitutions))
+
+
 class _Items:
     """A block of test items: words, and for each mask the sorted hashes of their windows."""
 
@@ -65,13 +78,38 @@ def _extend(code: np.ndarray, lo: int, hi: int, other: np.ndarray, olo: int, ohi
     for i in range(len(wrong) - 1):
         j = min(i + 1 + spare, len(wrong) - 1)
         a, b, used = wrong[i] + 1, wrong[j], j - i - 1
+        if a == wrong[i + 1]:  # nor is a start on one
+            continue
         while used and b > a and wrong[j - 1] == b - 1:  # an end on a substitution is no overlap
             j, b, used = j - 1, wrong[j - 1], used - 1
-        if b - a > best:
+        if (b - a, -used) > (best, -subs):
             best, subs = int(b - a), int(used)
     return best, subs
 
 
+def _rank(found: tuple[int, int]) -> tuple[int, int]:
+    return found[0], -found[1]
+
+
+def _pairs(lo: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a hit and one of its seeds, about PAIRS at a time; hit k has the seeds from lo[k] on."""
+    ends = np.cumsum(size)
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)), [len(size)])))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        k = np.repeat(np.arange(a, b), size[a:b])
+        yield k, np.arange(len(k)) + np.repeat(lo[a:b] - (ends[a:b] - size[a:b]) + ends[a] - size[a], size[a:b])
+
+
+def _near(code: np.ndarray, other: np.ndarray, k: np.ndarray, t: np.ndarray, pos: np.ndarray, at: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose windows differ in at most ``spare`` words."""
+    wrong = np.zeros(len(k), np.int64)
+    for j in range(SPAN):
+        wrong += code[pos[k] + j] != other[at[t] + j]
+        keep = wrong <= spare
+        k, t, wrong = k[keep], t[keep], wrong[keep]
+    return k, t
+
+
 def _hits(items: _Items, min_words: int, spare: int):
     names = ["item_id", "doc_id", "n_words", "n_substituted"]
 
@@ -91,15 +129,16 @@ def _hits(items: _Items, min_words: int, spare: int):
                     continue
                 doc = np.searchsorted(n, hit, "right") - 1
                 pos = hit - n[doc] + starts[doc]
-                hi = np.searchsorted(seeds, h[hit], "right")
-                for d, p, a, b in zip(doc.tolist(), pos.tolist(), lo[hit].tolist(), hi.tolist(), strict=True):
-                    for s in range(a, b):
-                        i, q = int(item[s]), int(at[s])
+                size = np.searchsorted(seeds, h[hit], "right") - lo[hit]
+                for k, t in _pairs(lo[hit], size):
+                    k, t = _near(code, items.code, k, t, pos, at, spare)
+                    _, first = np.unique(np.stack((doc[k], item[t], pos[k] - at[t])), axis=1, return_index=True)
+                    for d, i, p, q in zip(doc[k[first]].tolist(), item[t[first]].tolist(), pos[k[first]].tolist(), at[t[first]].tolist(), strict=True):
                         if (d, i, p - q) in done:
                             continue
                         done.add((d, i, p - q))
                         found = _extend(code, starts[d], starts[d + 1], items.code, items.starts[i], items.starts[i + 1], p, q, spare)
-                        if found[0] >= min_words and found[0] > best.get((d, i), (0, 0))[0]:
+                        if found[0] >= min_words and _rank(found) > _rank(best.get((d, i), (0, 0))):
                             best[d, i] = found
             rows = [(int(items.ids[i]), int(ids[d]), *v) for (d, i), v in best.items()]
             cols = list(zip(*rows, strict=True)) or [()] * 4
@@ -130,7 +169,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_EXACT, su
     spark = documents.sparkSession
     schema = "item_id long, doc_id long, n_words int, n_substituted int"
     found = spark.createDataFrame([], schema)
-    masks = MASKS if substitutions else MASKS[:1]  # an exact overlap hits under any mask
+    masks = cover(substitutions) if substitutions else cover(1)[:1]  # an exact overlap hits under any mask
     docs = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null"))
     for block in _blocks(items, masks):
         shared = spark.sparkContext.broadcast(block)  # bounded by BLOCK_SEEDS

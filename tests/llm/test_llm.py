@@ -121,6 +121,36 @@ def test_leaks_with_substitutions_and_blocks(spark, monkeypatch):
         leakage.leaks(docs, items, min_words=5)
 
 
+@pytest.mark.parametrize("n", range(1, 6))
+def test_masks_ignore_any_substitutions(n):
+    ignored = [set(range(leakage.SPAN)) - set(m) for m in leakage.cover(n)]
+    assert all(any(set(c) <= g for g in ignored) for c in itertools.combinations(range(leakage.SPAN), n))
+
+
+def test_leaks_with_two_substitutions_equal_brute_force(spark):
+    rng = random.Random(4)
+    item = [f"k{i}" for i in range(18)]
+    places = [(n, c) for n in (12, 14, 18) for c in itertools.combinations(range(1, n - 1), 2)]
+    docs = [(d, " ".join(["x", *("other" if k in c else w for k, w in enumerate(item[:n])), "y"])) for d, (n, c) in enumerate(places)]
+    few = [f"f{i}" for i in range(3)]
+    items = [(0, " ".join(item))] + [(i, " ".join(rng.choice(few) for _ in range(rng.randrange(10, 40)))) for i in range(1, 25)]
+    docs += [(1000 + d, " ".join(rng.choice(few) for _ in range(rng.randrange(10, 40)))) for d in range(60)]
+    docs += [(2000 + d, " ".join(["other"] * d + item[:11] + ["other"] * (d % 2))) for d in range(3)]  # 11 words and ends that differ
+    want = {}
+    for (i, x), (d, y) in itertools.product(items, docs):
+        a, b = x.split(), y.split()
+        for shift in range(-len(a), len(b)):
+            same = [a[k] == b[k + shift] for k in range(max(0, -shift), min(len(a), len(b) - shift))]
+            for p in range(len(same)):
+                for q in range(p + 12, len(same) + 1):
+                    wrong = same[p:q].count(False)
+                    if same[p] and same[q - 1] and wrong <= 2:
+                        want[i, d] = max(want.get((i, d), (0, 0)), (q - p, -wrong))
+    got = leakage.leaks(_docs(spark, docs), spark.createDataFrame(items, "item_id long, text string"), substitutions=2)
+    assert {(r.item_id, r.doc_id): (r.n_words, -r.n_substituted) for r in got.collect()} == want
+    assert {(0, d) for d in range(len(places))} <= set(want)
+
+
 # --- survivors ---------------------------------------------------------------------------------------------
 
 EDGE = "id long, head_id long, tail_id long, relation string, weight double, source string, created_at double, source_type string, confidence double, quarantined boolean, revised_at double, provenance_class string, rel string, prec int"
