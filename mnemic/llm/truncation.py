@@ -3,7 +3,9 @@
 Two kinds of evidence are combined into the probability that a text was cut.
 
 Length. The lengths of a source's texts follow a log-normal distribution that a field limit censors from
-the right. Limits are lengths on which far more texts lie than the fitted density lets expect; the
+the right. Limits are lengths on which far more texts lie than the fitted density or the lengths around them
+let expect (texts come in several shapes, which no single log-normal fits): more than chance allows and more
+than twice as many, so that most of them were cut. Every length is tested. The
 distribution is fitted by maximum likelihood with the texts at a limit as censored observations (EM). The
 share of a limit's texts that the density does not explain is the censoring posterior of a text of that
 length. Texts elsewhere have their source's rate of broken transfers as prior, estimated by EM from the
@@ -46,6 +48,10 @@ FOOTER = 4
 #: A limit needs this many texts, and a number that chance reaches at any length with less than this
 #: probability; how far below a limit a text may end when it was cut at a blank or blanks were stripped.
 LIMIT_TEXTS, CHANCE, SLACK = 5, 1e-3, 40
+#: Lengths beside a length that tell whether it stands out.
+NEXT = 5
+#: Rounds of testing all lengths and fitting the distribution anew with those that pass as censored.
+FITS = 3
 #: Units in which a field can be limited.
 UNITS = ("chars", "bytes")
 _BLANK = " \t\r\n ​"
@@ -244,25 +250,34 @@ def _by_chance(k: int, expected: float) -> float:
 class Lengths:
     """Length distribution, limits and censoring posteriors of one source, in one unit."""
 
-    def __init__(self, n: int, s1: float, s2: float, spikes: list[tuple[int, int]], near: dict[int, int]) -> None:
-        """spikes: (length, texts) of the most frequent lengths; near: texts within SLACK below such a length."""
-        self.n, self.limits = n, {}
+    def __init__(self, n: int, s1: float, s2: float) -> None:
+        self.n, self.s1, self.s2 = n, s1, s2
+        self.limits: dict[int, int] = {}
+        self.around: dict[int, float] = {}
+        self.prior: dict[int, tuple[float, float]] = {}
         self.mu, self.sd = fit_lengths(n, s1, s2, [])
-        for _ in range(3):
-            found = {}
-            for c, k in spikes:
-                expected = n * _mass(self.mu, self.sd, c, c)
-                if k >= LIMIT_TEXTS and _by_chance(k, expected) * n < CHANCE:
-                    found[c] = k
-            taken = [(math.log(c), k) for c, k in found.items()]
-            m = sum(k for _, k in taken)
-            self.limits = found
-            self.mu, self.sd = fit_lengths(n - m, s1 - sum(a * k for a, k in taken), s2 - sum(a * a * k for a, k in taken), taken)
-        self.prior = {}
+
+    def expected(self, length: int, around: float) -> float:
+        """Texts of this length that the density, or the number ``around`` it, lets expect."""
+        return max(self.n * _mass(self.mu, self.sd, length, length), around)
+
+    def unexpected(self, length: int, k: int, around: float) -> bool:
+        """Whether k texts of this length are too many for chance and mostly unexplained."""
+        expected = self.expected(length, around)
+        return k >= LIMIT_TEXTS and k > 2 * expected and _by_chance(k, expected) * self.n < CHANCE
+
+    def censor(self, limits: dict[int, int], around: dict[int, float]) -> None:
+        """Take these lengths, and their numbers of texts, for limits and fit the distribution anew."""
+        self.limits, self.around = limits, around
+        taken = [(math.log(c), k) for c, k in limits.items()]
+        m = sum(k for _, k in taken)
+        self.mu, self.sd = fit_lengths(self.n - m, self.s1 - sum(a * k for a, k in taken), self.s2 - sum(a * a * k for a, k in taken), taken)
+
+    def judge(self, near: dict[int, int]) -> None:
+        """Censoring posteriors at and below the limits. near: texts within SLACK below each."""
         for c, k in self.limits.items():
-            at = n * _mass(self.mu, self.sd, c, c)
-            below = n * _mass(self.mu, self.sd, c - SLACK, c - 1)
-            self.prior[c] = (min(0.995, max(0.5, 1 - at / k)), min(0.95, max(0.02, 1 - below / max(near.get(c, 0), 1))))
+            below = self.n * _mass(self.mu, self.sd, c - SLACK, c - 1)
+            self.prior[c] = (min(0.995, max(0.5, 1 - self.expected(c, self.around[c]) / k)), min(0.95, max(0.02, 1 - below / max(near.get(c, 0), 1))))
 
     def at(self, length: int) -> tuple[int, float] | None:
         """Limit and censoring posterior of a text of this length, or None where no limit is near."""
@@ -289,6 +304,15 @@ def _scorer(model: Endings):
     return scan
 
 
+def _unexpected(lengths: dict[str, Lengths]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("source", "n", "k", "around")), strict=True)
+            yield batch.filter(pa.array([lengths[s].unexpected(*r) for s, *r in rows], pa.bool_()))
+
+    return scan
+
+
 class Truncation:
     """Scores of all texts and per-source models; ``cut`` and ``rates`` are read off them."""
 
@@ -309,18 +333,23 @@ class Truncation:
         scored = scored.select("source", F.col(unit).alias("n"))
         log = F.log(F.col("n").cast("double"))
         sums = scored.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(log).alias("s1"), F.sum(log * log).alias("s2")).collect()
-        by_length = materialize(scored.groupBy("source", "n").agg(F.count(F.lit(1)).alias("k")), "lengths")
-        place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("k"), "n"))
-        top = by_length.filter(F.col("k") >= LIMIT_TEXTS).withColumn("place", place).filter("place <= 20").collect()  # 20 rows per source
-        spikes: dict[str, list[tuple[int, int]]] = {}
-        for r in top:
-            spikes.setdefault(r["source"], []).append((r["n"], r["k"]))
-        near: dict[tuple[str, int], int] = {}
-        if top:
-            want = scored.sparkSession.createDataFrame([(r["source"], r["n"]) for r in top], "source string, c int")
+        # most texts per length beside, above and below a length, there beyond those that were cut at a blank before it
+        w = Window.partitionBy("source").orderBy("n")
+        sides = [F.coalesce(F.sum("k").over(w.rangeBetween(a, a + m - 1)), F.lit(0)) / m for a, m in ((1, NEXT), (-NEXT, NEXT), (1, SLACK), (-2 * SLACK, SLACK))]
+        by_length = materialize(scored.groupBy("source", "n").agg(F.count(F.lit(1)).alias("k")).withColumn("around", F.greatest(*sides)), "lengths")
+        often = by_length.filter(F.col("k") >= LIMIT_TEXTS)
+        lengths = {r["source"]: Lengths(r["n"], r["s1"], r["s2"]) for r in sums}
+        for _ in range(FITS):
+            found = sorted(often.mapInArrow(_unexpected(lengths), often.schema).collect())  # those that pass only
+            for s, x in lengths.items():
+                x.censor({r["n"]: r["k"] for r in found if r["source"] == s}, {r["n"]: r["around"] for r in found if r["source"] == s})
+        limits = [(s, c) for s, x in lengths.items() for c in x.limits]
+        if limits:
+            want = scored.sparkSession.createDataFrame(limits, "source string, c int")
             got = by_length.join(F.broadcast(want), "source").filter((F.col("n") >= F.col("c") - SLACK) & (F.col("n") < F.col("c"))).groupBy("source", "c").agg(F.sum("k").alias("k")).collect()
-            near = {(r["source"], r["c"]): r["k"] for r in got}
-        return {r["source"]: Lengths(r["n"], r["s1"], r["s2"], spikes.get(r["source"], []), {c: near.get((r["source"], c), 0) for c, _ in spikes.get(r["source"], [])}) for r in sums}
+            for s, x in lengths.items():
+                x.judge({r["c"]: r["k"] for r in got if r["source"] == s})
+        return lengths
 
     def _prior(self) -> DataFrame:
         """(source, c, lo, hi, p): lengths in [lo, hi] have the censoring posterior p."""

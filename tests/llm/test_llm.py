@@ -398,6 +398,14 @@ def test_cut_texts_are_found(spark):
     assert rates["free"] < 0.02 < rates["capped"]
 
 
+def test_limits_below_many_ordinary_lengths_are_found(spark):
+    rng = np.random.default_rng(3)
+    lengths = np.exp(np.concatenate([rng.normal(5.7, 0.1, 20_000), rng.normal(5.2, 0.05, 10_000)])).astype(int).tolist()
+    assert max(lengths) < 600 and sorted(Counter(lengths).values())[-20] > 12
+    scored = spark.createDataFrame([("big", n) for n in lengths + [700] * 12], "source string, chars int")
+    assert truncation.Truncation._lengths(scored, "chars")["big"].limits == {700: 12}
+
+
 def test_truncation_of_nothing(spark):
     t = truncation.Truncation(spark.createDataFrame([], DOC))
     assert t.cut().count() == 0 and t.rates().count() == 0
