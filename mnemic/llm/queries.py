@@ -41,11 +41,11 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.items(read(spark, d, "documents"), read(spark, d, "entities"))
+    return pii.items(read(spark, d, "documents"), read(spark, d, "entities"), read(spark, d, "aliases"))
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted(read(spark, d, "documents"), read(spark, d, "entities"))
+    return pii.redacted(read(spark, d, "documents"), read(spark, d, "entities"), read(spark, d, "aliases"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

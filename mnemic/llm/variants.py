@@ -2,17 +2,19 @@
 
 Suffix blocking. Every token of every surface (canonical names and aliases) is indexed by its suffixes of
 MIN_SUFFIX letters and more, refined with the initial of another token of the name, so that a pair is
-compared if some token of both ends alike. A block of more than COMMON names is refined once more with the
-beginning of the token; suffixes that are still as common are discarded, except for whole tokens, which
-are never discarded (their blocks are dealt into cells that are paired in separate tasks). Pairs are
-compared token by token by the ratio of their longest common subsequence, with initials, abbreviations and
-short forms of given names understood.
+compared if some token of both ends alike. A block of more than COMMON names is refined with the beginning of the token,
+and, if it is as common still, with the beginning of the other token; whole tokens are refined no further than
+the first step. However common a block is after that, it is kept: it is dealt into cells that are paired in
+separate tasks. Pairs are compared token by token by the ratio of their longest common subsequence, with
+initials, abbreviations and short forms of given names understood. Given names, their short forms and the nouns
+of organisations are learned from the tables (see ``names.learn``), beside a prior list of everyday ones.
 
 Names are compared once per distinct normal form, whatever the number of rows that carry it. A match on
 initials only counts if all full names it fits belong to one entity.
 
 Two surnames that differ are one only if one looks like a typo: it has a letter sequence (of three) that is
-rare among all surnames, or no other name is spelt like it and the two are nearly equal.
+rare among all surnames, or it is spelt so once only, or in a small share of the names that have the other
+spelling, and the two are nearly equal.
 
 Defined results. Null and empty names, names of one token, and names of places, things, events, concepts
 and summaries are never cases; ``type`` decides only where a name's form does not. Ties cannot arise;
@@ -30,85 +32,103 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from mnemic.llm import names
+from mnemic.llm.names import Lexicon
 from mnemic.operators.components import components
 from mnemic.session import materialize
 
-MIN_SUFFIX, MAX_SUFFIX, COMMON, CELL = 3, 16, 60, 128
+#: Letters of a suffix at least and at most, names of a block that is not refined further, names of a cell, letters
+#: of the other token that refine a block.
+MIN_SUFFIX, MAX_SUFFIX, COMMON, CELL, BEGIN = 3, 16, 60, 128, 3
 #: Least LCS ratio of surnames and of an organisation's words.
 SURNAME, WORD, SHORT_WORD = 0.8, 0.8, 0.75
 #: Least LCS ratio of two surnames of which one is spelt so once only.
 TYPO = 0.85
-#: A sequence of three letters is rare where fewer than this share of surnames have it.
-RARE = 0.0008
-_TYPED = {"person": "p", "individual": "p", "human": "p", "org": "o", "organisation": "o", "organization": "o", "company": "o"}
+#: A sequence of three letters is rare where fewer than this share of surnames have it; a spelling is where it has
+#: at most this share of the names that the other spelling has.
+RARE, SELDOM = 0.0008, 0.02
 _NEVER = ("place", "event", "summary", "thing")
 
 
-def _surfaces(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in rows:
-        out = []
-        for eid, surface, kind in zip(df["entity_id"], df["surface"], df["type"], strict=True):
-            typed = _TYPED.get((kind or "").strip().lower())
-            parsed = names.parse(surface)
-            if parsed is None or (typed is None and not _telling(surface, parsed)):
-                continue
-            out.append((eid, parsed[0], " ".join(parsed[1])))
-        yield pd.DataFrame(out, columns=["entity_id", "kind", "norm"])
+def _surfaces(shared):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon: Lexicon = shared.value
+        for df in batches:
+            out = []
+            for eid, surface, kind in zip(df["entity_id"], df["surface"], df["type"], strict=True):
+                typed = names.TYPED.get((kind or "").strip().lower())
+                parsed = names.parse(surface, lexicon)
+                if parsed is None or (typed is None and not _telling(surface, parsed, lexicon)):
+                    continue
+                out.append((eid, parsed[0], " ".join(parsed[1])))
+            yield pd.DataFrame(out, columns=["entity_id", "kind", "norm"])
 
+    return rows
 
-def _telling(surface: str, parsed: tuple[str, tuple[str, ...]]) -> bool:
+
+def _telling(surface: str, parsed: tuple[str, tuple[str, ...]], lexicon: Lexicon) -> bool:
     """Whether a name without a telling type has the form of a person's or organisation's name."""
     kind, tokens = parsed
     if kind == "o":
         first = surface.split()[0]
-        return len(tokens) >= 3 and (first[0].isupper() or surface.islower() and tokens[-1] in names.NOUNS)
-    return any(t in names.FORMAL for t in tokens[:2]) and not (surface.split()[0][0].islower() and not surface.islower())
+        return len(tokens) >= 3 and (first[0].isupper() or surface.islower() and tokens[-1] in lexicon.nouns)
+    return any(t in lexicon.forms for t in tokens[:2]) and not (surface.split()[0][0].islower() and not surface.islower())
 
 
-def surfaces(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+def surfaces(entities: DataFrame, aliases: DataFrame, shared) -> DataFrame:
     """(entity_id, kind, norm): distinct normal forms of the names of persons and organisations."""
     live = entities.filter((F.coalesce("layer", F.lit(0)) == 0) & F.col("id").isNotNull() & ~F.coalesce(F.lower(F.trim("type")), F.lit("")).isin(*_NEVER))
     own = live.select(F.col("id").alias("entity_id"), F.col("canonical").alias("surface"), "type")
     # an alias counts for the entity it names; one that names none is dropped by the join
     other = aliases.select("entity_id", "surface").join(live.select(F.col("id").alias("entity_id"), "type"), "entity_id")
     typed = own.unionByName(other).filter("surface is not null").distinct()
-    return typed.mapInPandas(_surfaces, "entity_id long, kind string, norm string").distinct()
-
-
-def _keys(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Suffix keys of normal forms: (norm_id, kind, suffix, other initial, beginning, whole)."""
-    for df in rows:
-        out = []
-        for nid, kind, norm in zip(df["norm_id"], df["kind"], df["norm"], strict=True):
-            tokens = [t for t in norm.split(" ") if t[0] != "="]
-            full = [t for t in tokens if len(t) >= MIN_SUFFIX]
-            if kind == "p":
-                full += [a + b for a, b in zip(tokens, tokens[1:], strict=False) if len(a) > 2 and len(b) > 2 and len(tokens) > 2]
-            seen = set()
-            for t in full:
-                initials = set()
-                for o in tokens:
-                    if o != t and not t.startswith(o) and not t.endswith(o):
-                        initials |= {f[0] for f in names.FORMAL.get(o, (o,))} | {o[0]} if kind == "p" else {o[0]}
-                for n in {*range(MIN_SUFFIX, min(len(t), MAX_SUFFIX) + 1), len(t)}:
-                    for i in initials or {""}:
-                        key = (kind, t[-n:], i)
-                        if (key, t[:2]) not in seen:
-                            seen.add((key, t[:2]))
-                            out.append((nid, "|".join(key), t[:2], n == len(t)))
-        yield pd.DataFrame(out, columns=["norm_id", "key", "start", "whole"])
-
-
-def candidates(forms: DataFrame) -> DataFrame:
-    """(a, b), a < b: ids of normal forms that share a block."""
-    keyed = materialize(forms.mapInPandas(_keys, "norm_id long, key string, start string, whole boolean"), "suffixes")
+    return typed.mapInPandas(_surfaces(shared), "entity_id long, kind string, norm string").distinct()
+
+
+def _keys(shared):
+    """Suffix keys of normal forms: (norm_id, key, beginning, beginning of the other token, whole)."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon: Lexicon = shared.value
+        for df in batches:
+            out = []
+            for nid, kind, norm in zip(df["norm_id"], df["kind"], df["norm"], strict=True):
+                tokens = [t for t in norm.split(" ") if t[0] != "="]
+                full = [t for t in tokens if len(t) >= MIN_SUFFIX]
+                if kind == "p":
+                    full += [a + b for a, b in zip(tokens, tokens[1:], strict=False) if len(a) > 2 and len(b) > 2 and len(tokens) > 2]
+                seen = set()
+                for t in full:
+                    others = {""}
+                    for o in tokens:
+                        if o != t and not t.startswith(o) and not t.endswith(o):
+                            others |= {f[:BEGIN] for f in lexicon.forms.get(o, (o,))} | {o[:BEGIN]} if kind == "p" else {o[:BEGIN]}
+                    others = others - {""} or {""}
+                    for n in {*range(MIN_SUFFIX, min(len(t), MAX_SUFFIX) + 1), len(t)}:
+                        for o in others:
+                            key = (f"{kind}|{t[-n:]}|{o[:1]}", t[:2], o, n == len(t))
+                            if key not in seen:
+                                seen.add(key)
+                                out.append((nid, *key))
+            yield pd.DataFrame(out, columns=["norm_id", "key", "start", "other", "whole"])
+
+    return rows
+
+
+def _sized(keyed: DataFrame) -> DataFrame:
+    """Keyed names with the number ``n`` of different names of their block, blocks of one left out."""
     size = keyed.groupBy("key").agg(F.count_distinct("norm_id").alias("n")).filter("n > 1")
-    sized = keyed.join(size, "key")
-    small = sized.filter(F.col("n") <= COMMON).select("norm_id", "key", "whole")
-    refined = sized.filter(F.col("n") > COMMON).select("norm_id", F.concat_ws("|", "key", "start").alias("key"), "whole")
-    again = refined.groupBy("key").agg(F.count_distinct("norm_id").alias("n"), F.max("whole").alias("any_whole"))
-    kept = refined.join(again.filter("n > 1"), "key").filter((F.col("n") <= COMMON) | F.col("whole"))
-    blocks = small.select("norm_id", "key", F.lit(1).alias("cells")).unionByName(kept.select("norm_id", "key", F.greatest(F.lit(1), F.ceil(F.col("n") / CELL)).cast("int").alias("cells"))).distinct()
+    return keyed.join(size, "key")
+
+
+def candidates(forms: DataFrame, shared) -> DataFrame:
+    """(a, b), a < b: ids of normal forms that share a block."""
+    keyed = materialize(forms.mapInPandas(_keys(shared), "norm_id long, key string, start string, other string, whole boolean"), "suffixes")
+    one = _sized(keyed)
+    small = F.col("n") <= COMMON
+    two = materialize(_sized(one.filter(~small).drop("n").withColumn("key", F.concat_ws("|", "key", "start"))), "refined")
+    three = _sized(two.filter(~small & ~F.col("whole")).drop("n").withColumn("key", F.concat_ws("|", "key", "other")))
+    blocks = one.filter(small).unionByName(two.filter(small | F.col("whole"))).unionByName(three)
+    blocks = blocks.select("norm_id", "key", F.greatest(F.lit(1), F.ceil(F.col("n") / CELL)).cast("int").alias("cells")).distinct()
     i = F.pmod(F.xxhash64("norm_id"), F.col("cells")).cast("int")
     dealt = blocks.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cell = dealt.select("norm_id", "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
@@ -128,13 +148,13 @@ def _regular(word: str, common: frozenset[str]) -> bool:
     return all(marked[i : i + 3] in common for i in range(len(marked) - 2))
 
 
-def _persons(x: list[str], y: list[str], common: frozenset[str] | None, single: bool) -> int:
+def _persons(x: list[str], y: list[str], common: frozenset[str] | None, single: bool, lexicon: Lexicon) -> int:
     best = 0
-    for xs, xg in _splits(x):
-        for ys, yg in _splits(y):
+    for xs, xg in _splits(x, lexicon):
+        for ys, yg in _splits(y, lexicon):
             if min(len(xs), len(ys)) < 4 or names.ratio(xs, ys) < SURNAME or not xg or not yg or not _plausible(xs, ys, common, single):
                 continue
-            first = names.given_match(xg[0], yg[0])
+            first = lexicon.given_match(xg[0], yg[0])
             if not first:
                 continue
             xm, ym = xg[1:2], yg[1:2]
@@ -146,10 +166,10 @@ def _persons(x: list[str], y: list[str], common: frozenset[str] | None, single:
     return best
 
 
-def _splits(tokens: list[str]) -> list[tuple[str, list[str]]]:
+def _splits(tokens: list[str], lexicon: Lexicon) -> list[tuple[str, list[str]]]:
     """Ways to read a name as surname and given names: last, first, or two neighbours as one surname."""
     out = [(tokens[-1], tokens[:-1])]
-    if tokens[0] not in names.GIVEN:
+    if tokens[0] not in lexicon.full:
         out.append((tokens[0], tokens[1:]))
     if len(tokens) > 2:
         if min(len(tokens[-1]), len(tokens[-2])) > 2:
@@ -163,7 +183,7 @@ def _noun(a: str) -> str:
     return names.SHORT_NOUNS.get(a, a)
 
 
-def _organisations(x: list[str], y: list[str]) -> int:
+def _organisations(x: list[str], y: list[str], lexicon: Lexicon) -> int:
     fx, fy = ({t for t in z if t[0] == "="} for z in (x, y))
     if fx and fy and fx != fy:
         return 0
@@ -172,26 +192,27 @@ def _organisations(x: list[str], y: list[str]) -> int:
         return 0
     if len(x) != len(y):  # a town typed in two parts
         x, y = (x, y) if len(x) > len(y) else (y, x)
-        return max((_organisations(x[:i] + [x[i] + x[i + 1]] + x[i + 2 :], y) for i in range(len(x) - 1)), default=0)
+        return max((_organisations(x[:i] + [x[i] + x[i + 1]] + x[i + 2 :], y, lexicon) for i in range(len(x) - 1)), default=0)
     left = list(y)
     for t in sorted(x, key=len, reverse=True):
         hit = max(left, key=lambda o: (t == o, names.shortens(t, o) or names.shortens(o, t), names.ratio(t, o)))
-        known = t in names.NOUNS and hit in names.NOUNS and t != hit
-        if known or not (t == hit or names.shortens(t, hit) or names.shortens(hit, t) or names.ratio(t, hit) >= (WORD if max(len(t), len(hit)) > 5 else SHORT_WORD)):
-            return 0
+        if t != hit and not names.shortens(t, hit) and not names.shortens(hit, t):
+            two_nouns = t in lexicon.nouns and hit in lexicon.nouns
+            if two_nouns or names.ratio(t, hit) < (WORD if max(len(t), len(hit)) > 5 else SHORT_WORD):
+                return 0
         left.remove(hit)
     return 2
 
 
-def match(kind: str, a: str, b: str, common: frozenset[str] | None = None, single: bool = False) -> int:
+def match(kind: str, a: str, b: str, common: frozenset[str] | None = None, single: bool = False, lexicon: Lexicon = names.PRIOR) -> int:
     """0 different, 1 may be the same (given name as initial only), 2 the same. ``common``: usual letter
-    sequences of surnames; ``single``: one of the two surnames is spelt so in one name only."""
+    sequences of surnames; ``single``: one of the two surnames is spelt so seldom."""
     x, y = a.split(" "), b.split(" ")
     if kind == "o":
-        return _organisations(x, y)
+        return _organisations(x, y, lexicon)
     if x == y:
         return 2 if sum(len(t) > 1 for t in x) > 1 else 1
-    return _persons(x, y, common, single)
+    return _persons(x, y, common, single, lexicon)
 
 
 def common_sequences(forms: DataFrame) -> frozenset[str]:
@@ -208,23 +229,28 @@ def common_sequences(forms: DataFrame) -> frozenset[str]:
     return frozenset(r["g"] for r in grams.groupBy("g").count().filter(F.col("count") >= least).collect())
 
 
-def links(entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(a, b) of entities that are the same, as many as connect each group; not closed."""
-    named = materialize(surfaces(entities, aliases), "surfaces")
+def links(entities: DataFrame, aliases: DataFrame, prior: Lexicon | None = None) -> DataFrame:
+    """(a, b) of entities that are the same, as many as connect each group; not closed. ``prior``: what is known of
+    names beforehand (everyday ones by default)."""
+    shared = entities.sparkSession.sparkContext.broadcast(names.learn(entities, aliases, prior))  # bounded by names.SHARE
+    named = materialize(surfaces(entities, aliases, shared), "surfaces")
     forms = named.select("kind", "norm").distinct().withColumn("norm_id", F.xxhash64("kind", "norm"))
     common = common_sequences(forms)
-    pairs = candidates(forms)
+    pairs = candidates(forms, shared)
     longest = F.aggregate(F.split("norm", " "), F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
     by = materialize(forms.withColumn("surname", longest), "forms")
-    spelt = by.groupBy("kind", "surname").agg((F.count(F.lit(1)) == 1).alias("single"))
+    spelt = by.groupBy("kind", "surname").agg(F.count(F.lit(1)).alias("spelt"))
     by = by.join(spelt, ["kind", "surname"])
-    told = pairs.join(by.select(F.col("norm_id").alias("a"), "kind", F.col("norm").alias("x"), F.col("single").alias("sx")), "a").join(by.select(F.col("norm_id").alias("b"), F.col("norm").alias("y"), F.col("single").alias("sy")), "b")
+    told = pairs.join(by.select(F.col("norm_id").alias("a"), "kind", F.col("norm").alias("x"), F.col("spelt").alias("sx")), "a").join(by.select(F.col("norm_id").alias("b"), F.col("norm").alias("y"), F.col("spelt").alias("sy")), "b")
 
     @F.pandas_udf(IntegerType())
     def same(kind: pd.Series, x: pd.Series, y: pd.Series, single: pd.Series) -> pd.Series:
-        return pd.Series([match(k, p, q, common, s) for k, p, q, s in zip(kind, x, y, single, strict=True)], dtype="int32")
+        lexicon = shared.value
+        return pd.Series([match(k, p, q, common, s, lexicon) for k, p, q, s in zip(kind, x, y, single, strict=True)], dtype="int32")
 
-    matched = materialize(told.select("a", "b", same("kind", "x", "y", F.col("sx") | F.col("sy")).alias("m")).filter("m > 0"), "matches")
+    few = F.least("sx", "sy")
+    seldom = (few == 1) | (few <= SELDOM * F.greatest("sx", "sy"))
+    matched = materialize(told.select("a", "b", same("kind", "x", "y", seldom).alias("m")).filter("m > 0"), "matches")
     ids = named.withColumn("norm_id", F.xxhash64("kind", "norm")).withColumn("full", F.expr("kind = 'o' or size(filter(split(norm, ' '), t -> length(t) > 1)) > 1"))
     ids = ids.withColumn("telling", F.expr("full or size(split(norm, ' ')) > 2"))  # two initials tell as much as a given name
     head = ids.groupBy("norm_id").agg(F.min("entity_id").alias("h"), F.max("full").alias("full"))
@@ -250,9 +276,9 @@ def _through(ids: DataFrame) -> DataFrame:
     return ids.select(F.col("entity_id").alias("a"), F.col("entity_id").alias("b")).distinct()
 
 
-def resolved(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+def resolved(entities: DataFrame, aliases: DataFrame, prior: Lexicon | None = None) -> DataFrame:
     """(entity_id, group_id) of every entity that is named as a person or organisation."""
-    return components(links(entities, aliases)).select(F.col("id").alias("entity_id"), F.col("component").alias("group_id"))
+    return components(links(entities, aliases, prior)).select(F.col("id").alias("entity_id"), F.col("component").alias("group_id"))
 
 
 def pairs(groups: DataFrame) -> DataFrame:
