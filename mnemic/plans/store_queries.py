@@ -21,7 +21,7 @@ def entity_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_scan(spark: SparkSession, d: str) -> DataFrame:
-    return schemas.conform(read(spark, d, "edges"), "edges")
+    return schemas.conform(read(spark, d, "edges"), "edges").orderBy("id")
 
 
 def store_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -222,6 +222,7 @@ def _recall(where: str) -> str:
     return _B + f""", r as (select head_id, relation, first(tail_id order by score desc, tail_id) filter ({where}) as tail_id, round(max(score) filter ({where}), 6) as score from s group by 1, 2)"""
 
 
+_NUM = "case when not isnan({0}) then {0} end"
 _ACTIVE = "not quarantined and confidence >= 0.35"
 _REAL = _ACTIVE + " and provenance_class = 'real'"
 _P = "lower(type) in ('person', 'individual')"
@@ -229,7 +230,7 @@ _NB = "nb as (select head_id as id, tail_id as neighbour from edges where head_i
 
 ORACLE = {
     "entity_scan": "select e.id, canonical, type, layer, surface from entities e left join (select distinct entity_id, surface from aliases) a on a.entity_id = e.id",
-    "edge_scan": "select id, head_id, tail_id, relation, coalesce(weight, 1.0) as weight, coalesce(source, '') as source, created_at, last_used, coalesce(source_type, 'inference') as source_type, coalesce(confidence, 0.5) as confidence, coalesce(quarantined, false) as quarantined, revised_at, coalesce(provenance_class, 'real') as provenance_class, coalesce(charge, 0.0) as charge from edges",
+    "edge_scan": "select id, head_id, tail_id, relation, coalesce(" + _NUM.format("weight") + ", 1.0) as weight, coalesce(source, '') as source, " + _NUM.format("created_at") + " as created_at, " + _NUM.format("last_used") + " as last_used, coalesce(source_type, 'inference') as source_type, coalesce(" + _NUM.format("confidence") + ", 0.5) as confidence, coalesce(quarantined, false) as quarantined, " + _NUM.format("revised_at") + " as revised_at, coalesce(provenance_class, 'real') as provenance_class, coalesce(" + _NUM.format("charge") + ", 0.0) as charge from edges order by id",
     "store_counts": " union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in ("entities", "aliases", "edges", "documents", "hierarchy")),
     "surface_lookup": f"with {_RESOLVE}, q as (select distinct surface from aliases) select surface, e as entity_id, case p when 0 then 'canonical' when 1 then 'alias' end as via from q left join best on best.k = {_FOLD.format('surface')}",
     "beliefs_active": f"select id, head_id, {_REL} as relation, tail_id from edges where not quarantined and provenance_class = 'real'",

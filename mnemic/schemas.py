@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructType
 
 TABLES = {
     "entities": "id long, canonical string, type string, description string, hv array<double>, hv_kernel string, created_at double, layer int",
@@ -30,10 +30,12 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """The table with all its columns: missing ones are added with their default (null where there is none),
-    nulls of columns with a default are filled. Extra columns are left out."""
+    nulls of columns with a default are filled. A NaN is a missing number. Extra columns are left out."""
     out = []
     for f in StructType.fromDDL(TABLES[table]):
         default = EDGE_DEFAULTS.get(f.name) if table == "edges" else None
         col = F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
+        if f.dataType == DoubleType() and f.name in df.columns:
+            col = F.when(~F.isnan(col), col)
         out.append((F.coalesce(col, F.lit(default)) if default is not None else col).alias(f.name))
     return df.select(*out)

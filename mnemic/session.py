@@ -12,6 +12,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Bytes of a table (by the plan's estimate) up to which it may be redistributed to occupy all cores.
+SPREAD_BYTES = 4 << 30
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,10 +44,11 @@ def materialize(df: DataFrame, name: str = "step", partition_by: list[str] | Non
     """Write ``df`` as a Parquet table in the shared folder and return a scan of it.
 
     This cuts lineage without keeping blocks on executors: a lost executor costs nothing but the tasks
-    it was running. Column pruning and filter pushdown work on the returned scan.
+    it was running. Column pruning and filter pushdown work on the returned scan. What an application wrote is
+    deleted when it ends, or before by ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mnemic/{name}-{uuid.uuid4().hex}"
+    path = f"{_workspace(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -53,14 +56,40 @@ def materialize(df: DataFrame, name: str = "step", partition_by: list[str] | Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _workspace(spark: SparkSession) -> str:
+    """The application's folder within the shared one, marked for deletion at the application's end."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/mnemic/{sc.applicationId}"
+    if getattr(sc, "_mnemic_workspace", None) != path:
+        fs, at = _hadoop(spark, path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        sc._mnemic_workspace = path
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything the application materialized so far; results that were not read yet are lost."""
+    fs, at = _hadoop(spark, _workspace(spark))
+    for f in fs.listStatus(at):
+        fs.delete(f.getPath(), True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least one partition per core, for costly work per row.
 
-    Only a table of fewer splits than there are cores (one small file, say) is redistributed; larger ones are
-    returned as they are, so at scale this adds no shuffle. To be used on scans, before any join or aggregate.
+    Only a table of fewer splits than there are cores and of at most SPREAD_BYTES (one small file, say) is
+    redistributed; others are returned as they are, so at scale this adds no shuffle. To be used on scans, before any
+    join or aggregate.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(n) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < n else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -28,7 +28,8 @@ def db():
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
+        assert not math.isnan(v), "a NaN equals nothing"
+        return float(f"{v:.9g}") + 0.0
     return tuple(map(_norm, v)) if isinstance(v, (list, tuple)) else v
 
 
