@@ -12,8 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
 #: Default numbers of dimensions of real and ternary vectors.
@@ -90,8 +93,14 @@ def pack_real(vectors: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
-def unpack_real(blobs: pd.Series) -> pd.Series:
-    return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4").astype("float64"))
+def unpack_real(blobs: pd.Series, dims: pd.Series) -> pd.Series:
+    """Vectors of the stated numbers of dimensions; an error where the size does not fit."""
+    out = []
+    for b, dim in zip(blobs, dims, strict=True):
+        if b is not None and len(b) != 4 * dim:
+            raise ValueError(f"packed vector has {len(b)} bytes, not {4 * dim}")
+        out.append(None if b is None else np.frombuffer(b, "<f4").astype("float64"))
+    return pd.Series(out)
 
 
 def planes(a: Column) -> Column:
@@ -107,6 +116,12 @@ def planes(a: Column) -> Column:
     return F.struct(plane(1).alias("pos"), plane(-1).alias("neg"))
 
 
+def planes_trits(p: Column, dim: Column) -> Column:
+    """The ternary vector of bit planes."""
+    bit = lambda words, i: F.call_function("shiftright", F.element_at(words, (F.floor(i / 64) + 1).cast("int")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return F.when(dim == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), dim - 1), lambda i: (bit(p["pos"], i) - bit(p["neg"], i)).cast("int")))
+
+
 def planes_bind(a: Column, b: Column) -> Column:
     def both(p: Column, q: Column, r: Column, s: Column) -> Column:
         return F.zip_with(F.zip_with(p, q, lambda x, y: x.bitwiseAND(y)), F.zip_with(r, s, lambda x, y: x.bitwiseAND(y)), lambda x, y: x.bitwiseOR(y))
@@ -126,19 +141,87 @@ def exploded(df: DataFrame, keys: list[str], vector: str = "hv", weight: str | N
     return df.select(*keys, *([F.col(weight).alias("n")] if weight else []), F.posexplode(vector).alias("pos", "x"))
 
 
+#: Elements of all accumulators that a split keeps before it sends them on.
+HELD = 1 << 22
+
+
+class _Sums:
+    """Dense sums per key; vectors of a key may differ in length."""
+
+    def __init__(self) -> None:
+        self.sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        self.held = 0
+
+    def add(self, key: tuple, s: np.ndarray, n: np.ndarray) -> None:
+        old = self.sums.get(key)
+        if old is not None and len(old[0]) >= len(s):
+            old[0][: len(s)] += s
+            old[1][: len(n)] += n
+            return
+        if old is not None:
+            s, n = s.copy(), n.copy()
+            s[: len(old[0])] += old[0]
+            n[: len(old[0])] += old[1]
+            self.held -= len(old[0])
+        self.sums[key] = s, n
+        self.held += len(s)
+
+
+def _accumulate(n_keys: int, names: list[str], types: list[pa.DataType]):
+    """Sums of one input split: rows (keys, vector, weight) in, one row (keys, s, n) per key out."""
+
+    def batch_of(sums: _Sums) -> pa.RecordBatch:
+        cols = list(zip(*sums.sums, strict=True)) or [()] * n_keys
+        arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+        arrays.append(pa.array([s for s, _ in sums.sums.values()], pa.list_(pa.float64())))
+        arrays.append(pa.array([n for _, n in sums.sums.values()], pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(arrays, names=[*names, "s", "n"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True))
+            hv, w = batch.column(n_keys), np.asarray(batch.column(n_keys + 1).fill_null(0), dtype=np.int64)
+            size = np.asarray(pa.compute.list_value_length(hv).fill_null(0))
+            x = np.nan_to_num(np.asarray(hv.flatten().fill_null(0.0), dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
+            at = np.concatenate(([0], np.cumsum(size)))
+            groups: dict[tuple, list[int]] = {}
+            for i, k in enumerate(keys):
+                groups.setdefault((k, size[i]), []).append(i)
+            for (k, dim), rows in groups.items():
+                if dim:
+                    part = x[(at[rows][:, None] + np.arange(dim)).ravel()].reshape(-1, dim) if len(rows) > 1 else x[at[rows[0]] : at[rows[0]] + dim][None, :]
+                    sums.add(k, w[rows].astype(float) @ part, np.full(dim, w[rows].sum()))
+            if sums.held > HELD:
+                yield batch_of(sums)
+                sums = _Sums()
+        yield batch_of(sums)
+
+    return scan
+
+
+def _totals(df: DataFrame, keys: list[str], vector: str, weight: str | None) -> DataFrame:
+    """(keys, pos, s, n): sums of elements (times weights) and of weights. A split adds its vectors up in dense arrays,
+    so what is shuffled is a row per key and element of each split, not of each vector."""
+    rows = df.select(*keys, F.col(vector).cast("array<double>").alias("hv"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")).filter("hv is not null")
+    kinds = [rows.schema[k].dataType for k in keys]
+    schema = ", ".join([f"`{k}` {t.simpleString()}" for k, t in zip(keys, kinds, strict=True)] + ["s array<double>", "n array<bigint>"])
+    parts = rows.mapInArrow(_accumulate(len(keys), keys, [to_arrow_type(t) for t in kinds]), schema)
+    each = parts.select(*keys, F.posexplode(F.arrays_zip("s", "n")).alias("pos", "e"))
+    return each.groupBy(*keys, "pos").agg(F.sum("e.s").alias("s"), F.sum("e.n").alias("n"))
+
+
 def bundle_real(df: DataFrame, keys: list[str], vector: str = "hv") -> DataFrame:
-    """(keys, pos, x): sum of a key's vectors with unit length; a zero sum stays zero. Sums are combined
-    before the shuffle, so a key's rows are never gathered."""
-    total = exploded(df, keys, vector).groupBy(*keys, "pos").agg(F.sum(_finite(F.col("x"))).alias("s"))
+    """(keys, pos, x): sum of a key's vectors with unit length; a zero sum stays zero. A key's rows are never
+    gathered."""
+    total = _totals(df, keys, vector, None).drop("n")
     norm = total.groupBy(*keys).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
     return total.join(norm, keys).select(*keys, "pos", F.when(F.col("norm") > 0, F.col("s") / F.col("norm")).otherwise(0.0).alias("x"))
 
 
 def bundle_ternary(df: DataFrame, keys: list[str], vector: str = "hv", deadband: float = 0.0, weight: str | None = None) -> DataFrame:
-    """(keys, pos, s, x): sign of the (weighted) sum with deadband max(0.5 * sqrt(n), deadband)."""
-    e = exploded(df, keys, vector, weight)
-    w = F.col("n") if weight else F.lit(1)
-    total = e.groupBy(*keys, "pos").agg(F.sum(F.col("x") * w).cast("long").alias("s"), F.sum(w).cast("long").alias("n"))
+    """(keys, pos, s, n, x): sign of the (weighted) sum with deadband max(0.5 * sqrt(n), deadband)."""
+    total = _totals(df, keys, vector, weight).withColumn("s", F.col("s").cast("long"))
     t = F.greatest(0.5 * F.sqrt("n"), F.lit(deadband))
     return total.select(*keys, "pos", "s", "n", F.when(F.abs("s") <= t, 0).otherwise(F.signum("s").cast("int")).alias("x"))
 

@@ -50,6 +50,19 @@ def hv_bitplane_similarity(spark: SparkSession, d: str) -> DataFrame:
     return p.select("vec_id", F.round(V.planes_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
+def hv_bitplane_trits(spark: SparkSession, d: str) -> DataFrame:
+    """Trits to bit planes and back."""
+    p = _trits(spark, d).select("vec_id", "hv", V.planes(F.col("hv")).alias("p"))
+    return p.select("vec_id", F.posexplode(V.planes_trits(F.col("p"), F.size("hv"))).alias("pos", "x"))
+
+
+def proto_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """All classes of each vector in descending order of their score."""
+    e = _emb(spark, d)
+    r = P.ranked(e, materialize(P.fit(e), "prototypes"), "vec_id")
+    return r.select("vec_id", "rank", "label", F.round("score", 6).alias("score"))
+
+
 def hv_pack(spark: SparkSession, d: str) -> DataFrame:
     p = _trits(spark, d).select("vec_id", "hv", V.pack_trits(F.col("hv")).alias("b"))
     return p.select("vec_id", F.hex("b").alias("packed"), F.length("b").alias("n_bytes"), (V.unpack_trits(F.col("b"), F.size("hv")) == F.col("hv")).alias("round_trip"))
@@ -57,7 +70,7 @@ def hv_pack(spark: SparkSession, d: str) -> DataFrame:
 
 def hv_pack_real(spark: SparkSession, d: str) -> DataFrame:
     e = _emb(spark, d).select("vec_id", "hv", V.pack_real("hv").alias("b"))
-    return e.select("vec_id", F.length("b").alias("n_bytes"), (V.unpack_real("b") == F.col("hv")).alias("round_trip"))
+    return e.select("vec_id", F.length("b").alias("n_bytes"), (V.unpack_real("b", F.size("hv")) == F.col("hv")).alias("round_trip"))
 
 
 def hv_bundle_real(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +164,7 @@ def group_prototypes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hv_bind, hv_cosine, hv_quantize, hv_ternary_similarity, hv_bitplane_similarity, hv_pack, hv_pack_real, hv_bundle_real, hv_bundle_ternary, hv_footprint, proto_fit, proto_predict, proto_accuracy, proto_update, proto_separability, knn_exhaustive, scale_fit, scale_params, encode_real, encode_ternary, group_prototypes)
+    for f in (hv_bind, hv_cosine, hv_quantize, hv_ternary_similarity, hv_bitplane_similarity, hv_bitplane_trits, proto_ranked, hv_pack, hv_pack_real, hv_bundle_real, hv_bundle_ternary, hv_footprint, proto_fit, proto_predict, proto_accuracy, proto_update, proto_separability, knn_exhaustive, scale_fit, scale_params, encode_real, encode_ternary, group_prototypes)
 }
 
 _LONG = "with e as (select vec_id, label, unnest(range(len(embedding)))::int as pos, unnest(embedding)::double as x from embeddings)"
@@ -199,6 +212,8 @@ ORACLE = {
     "hv_quantize": _TRIT + " select vec_id, count(*) filter (x = 1) as plus, count(*) filter (x = 0) as zero, count(*) filter (x = -1) as minus from t group by 1",
     "hv_ternary_similarity": _TRIT + " select a.vec_id, round(coalesce(sum(a.x * b.x) / nullif(sum(abs(a.x * b.x)), 0), 0), 6) as similarity from t a join t b on b.vec_id = a.vec_id + 1 and b.pos = a.pos group by 1",
     "hv_bitplane_similarity": _TRIT + " select a.vec_id, round(coalesce(sum(a.x * b.x) / nullif(sum(abs(a.x * b.x)), 0), 0), 6) as similarity from t a join t b on b.vec_id = a.vec_id + 1 and b.pos = a.pos group by 1",
+    "hv_bitplane_trits": _TRIT + " select vec_id, pos, x from t",
+    "proto_ranked": _SCORES + " select vec_id, r::int as rank, label, round(score, 6) as score from rk",
     "hv_pack": _TRIT + """, c as (select vec_id, pos // 4 as byte, sum(case x when 1 then 1 when -1 then 2 else 0 end * (4 ** (pos % 4))::int)::int as v from t group by 1, 2)
       select vec_id, string_agg(printf('%02X', v), '' order by byte) as packed, count(*)::int as n_bytes, true as round_trip from c group by 1""",
     "hv_pack_real": "select vec_id, len(embedding)::int * 4 as n_bytes, true as round_trip from embeddings",
