@@ -39,6 +39,33 @@ class Weights:
         self.enter = dense(NODE + 1, hidden)
         self.message = [dense(hidden, hidden) for _ in range(layers)]
         self.head1, self.head2 = dense(hidden, 32), dense(32, 1)
+        self.steps, self.moments = 0, [(np.zeros_like(x), np.zeros_like(x)) for x in (self.head1, self.head2)]
+
+    def supervise(self, h: np.ndarray, initial: np.ndarray, gold: np.ndarray, rate: float = 5e-3, margin: float = 1.0) -> float:
+        """One Adam step of the head on a query's bounded set of nodes: pairwise hinge between gold and other nodes
+        plus logistic loss. Returns the loss; nothing is done (0) where there is no gold node or nothing else."""
+        if not gold.any() or gold.all():
+            return 0.0
+        z = h @ self.head1
+        a = _gelu(z)
+        s = (a @ self.head2)[:, 0] + initial
+        gap = margin - (s[gold][:, None] - s[~gold][None, :])
+        on = gap > 0
+        p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        loss = gap[on].sum() / on.size - np.mean(np.log(np.where(gold, p, 1 - p) + 1e-12))
+        d = (p - gold) / len(gold)
+        d[gold] -= on.sum(1) / on.size
+        d[~gold] += on.sum(0) / on.size
+        step = 1e-5
+        slope = (_gelu(z + step) - _gelu(z - step)) / (2 * step)
+        grads = [h.T @ (d[:, None] * self.head2[:, 0][None, :] * slope), a.T @ d[:, None]]
+        self.steps += 1
+        for i, (g, value) in enumerate(zip(grads, (self.head1, self.head2), strict=True)):
+            m, v = self.moments[i]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            value -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
+        return float(loss)
 
     def gate(self, u: np.ndarray, v: np.ndarray, e: np.ndarray, g: np.ndarray) -> np.ndarray:
         x = np.concatenate([u @ self.node, v @ self.node, e @ self.edge, np.repeat((g @ self.graph)[None, :], len(u), 0)], 1)
@@ -53,15 +80,20 @@ def _dense(matrix: np.ndarray):
     return apply
 
 
-def propagate(edges: DataFrame, activation: DataFrame, weights: Weights | None = None) -> DataFrame:
-    """(id, initial, final): activations (id, activation) after propagation over leaf edges; nodes without an
-    activation start at 0, a graph without edges leaves activations as they are."""
+def propagate(edges: DataFrame, activation: DataFrame, weights: Weights | None = None, states: bool = False) -> DataFrame:
+    """([query_id,] id, initial, final[, h]): activations ([query_id,] id, activation) after propagation over leaf edges.
+
+    Without query ids, nodes that have no activation start at 0. With them every query is propagated by itself, over
+    the nodes that have an activation in it. A graph without edges leaves activations as they are. ``states`` adds
+    the last hidden state."""
+    keys = [c for c in ("query_id", "id") if c in activation.columns]
+    per_query = len(keys) == 2
     w = weights or Weights()
     edges = materialize(edges.select("id", "head_id", "tail_id", "weight"), "edges")
     c = materialize(R.collapsed_max(edges), "collapsed")
-    start = activation.groupBy("id").agg(F.max("activation").alias("initial"))
+    start = activation.groupBy(*keys).agg(F.max("activation").alias("initial"))
     if not c.limit(1).collect():
-        return start.select("id", "initial", F.col("initial").alias("final"))
+        return start.select(*keys, "initial", F.col("initial").alias("final"), *([F.array_repeat(F.lit(0.0), w.hidden).alias("h")] if states else []))
     nodes = materialize(R.node_features(edges), "features")
     summary = R.graph_summary(nodes, edges).first()
     g = np.array([summary[k] for k in summary.asDict()], dtype=float)
@@ -88,7 +120,8 @@ def propagate(edges: DataFrame, activation: DataFrame, weights: Weights | None =
         x = np.concatenate([np.stack(f.to_numpy()), act.to_numpy(float)[:, None]], 1)
         return pd.Series(list(np.tanh(x @ w.enter)))
 
-    state = feats.join(start, "id", "left").fillna({"initial": 0.0}).select("id", "initial", enter("f", "initial").alias("h"))
+    entered = feats.join(start, "id", "inner" if per_query else "left").fillna({"initial": 0.0})
+    state = entered.select(*keys, "initial", enter("f", "initial").alias("h"))
     for layer in range(w.layers):
         state = materialize(state, "state")
 
@@ -101,14 +134,14 @@ def propagate(edges: DataFrame, activation: DataFrame, weights: Weights | None =
             y = (y - y.mean(1, keepdims=True)) / np.sqrt(y.var(1, keepdims=True) + 1e-5)
             return pd.Series(list(y))
 
-        sent = state.select(F.col("id").alias("src"), turn("h").alias("x"))
-        sums = both.join(sent, "src").groupBy(F.col("dst").alias("id")).agg(*[F.sum(F.col("x")[i] * F.col("m")).alias(f"s{i}") for i in range(w.hidden)])
-        got = sums.select("id", F.array(*[F.col(f"s{i}") for i in range(w.hidden)]).alias("agg"))
+        sent = state.withColumnRenamed("id", "src").select(*keys[:-1], "src", turn("h").alias("x"))
+        sums = both.join(sent, "src").withColumnRenamed("dst", "id").groupBy(*keys).agg(*[F.sum(F.col("x")[i] * F.col("m")).alias(f"s{i}") for i in range(w.hidden)])
+        got = sums.select(*keys, F.array(*[F.col(f"s{i}") for i in range(w.hidden)]).alias("agg"))
         zero = F.array_repeat(F.lit(0.0), w.hidden)
-        state = state.join(got, "id", "left").select("id", "initial", update("h", F.coalesce("agg", zero)).alias("h"))
+        state = state.join(got, keys, "left").select(*keys, "initial", update("h", F.coalesce("agg", zero)).alias("h"))
 
     @F.pandas_udf(DoubleType())
     def head(h: pd.Series) -> pd.Series:
         return pd.Series((_gelu(np.stack(h.to_numpy()) @ w.head1) @ w.head2)[:, 0])
 
-    return state.select("id", "initial", F.round(head("h") + F.col("initial"), 6).alias("final"))
+    return state.select(*keys, "initial", F.round(head("h") + F.col("initial"), 6).alias("final"), *(["h"] if states else []))

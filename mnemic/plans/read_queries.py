@@ -55,13 +55,21 @@ def address_softmax(spark: SparkSession, d: str) -> DataFrame:
     return a.select("query_id", "id", "score", "activation")
 
 
+def _top(spark: SparkSession, d: str, semantic: bool) -> DataFrame:
+    """The strongest entities from sparse scores."""
+    e, plans = read(spark, d, "entities"), P.plans(_items(spark, d))
+    leaf = e.filter("layer = 0").select("id")
+    acts = materialize(A.activations(materialize(A.channels(plans, e, read(spark, d, "aliases"), semantic, dense=False), "channels"), rest=leaf.count()), "activations")
+    return A.filled(A.top_k(acts, TOP), acts, plans, leaf, TOP)
+
+
 def address_topk(spark: SparkSession, d: str) -> DataFrame:
-    return A.top_k(A.activations(materialize(_channels(spark, d, semantic=False), "channels")), TOP).select("query_id", "rank", "id", "activation")
+    return _top(spark, d, False)
 
 
 def address_semantic(spark: SparkSession, d: str) -> DataFrame:
     """Top entities with the semantic channel of hashed text vectors added."""
-    return A.top_k(A.activations(materialize(_channels(spark, d, semantic=True), "channels")), TOP)
+    return _top(spark, d, True)
 
 
 def _active(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +179,7 @@ def recall_lines(spark: SparkSession, d: str) -> DataFrame:
     entities before relations between them."""
     from pyspark.sql.window import Window
 
-    top = materialize(A.top_k(A.activations(materialize(_channels(spark, d, semantic=False), "channels")), TOP), "top").select("query_id", "id")
+    top = materialize(_top(spark, d, semantic=False), "top").select("query_id", "id")
     e = read(spark, d, "edges").filter("not quarantined")
     ends = e.select("id", F.explode(F.array("head_id", "tail_id")).alias("end"), F.trim(F.lower(F.substring_index("source", "#", 1))).alias("anchor")).filter("anchor <> ''")
     docs = ends.join(top.withColumnRenamed("id", "end"), "end").select("query_id", "anchor").distinct().join(read(spark, d, "documents").select("anchor", "doc_id", "text").filter("text <> ''"), "anchor")

@@ -88,7 +88,7 @@ def spread(df: DataFrame) -> DataFrame:
     join or aggregate.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(n) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < n else df
 
 
