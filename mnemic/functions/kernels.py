@@ -102,7 +102,7 @@ class Real(Kernel):
         return s.cast("double")
 
     def similarity(self, a: Column, b: Column) -> Column:
-        return V.cosine(a, b)
+        return V.cosine(a.cast("array<double>"), b.cast("array<double>"))
 
     def alike(self, x: Column, y: Column) -> Column:
         norms = F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))
@@ -129,7 +129,7 @@ class Ternary(Kernel):
         return F.when(F.abs(s) <= F.greatest(0.5 * F.sqrt(n), F.lit(self.deadband)), 0).otherwise(F.signum(s).cast("int"))
 
     def similarity(self, a: Column, b: Column) -> Column:
-        return V.ternary_similarity(a, b)
+        return V.ternary_similarity(a.cast("array<int>"), b.cast("array<int>"))
 
     def alike(self, x: Column, y: Column) -> Column:
         n = F.sum(F.abs(x * y))

@@ -179,6 +179,6 @@ def guarded(beliefs: DataFrame) -> DataFrame:
 
 
 def values_block(values: DataFrame) -> str:
-    """Text block of the values (statement); values are few and set by hand."""
-    lines = [f"- {r['statement']}" for r in values.select("statement").distinct().orderBy("statement").limit(100).collect()]
+    """Text block of all values (statement), one line each; values are few and set by hand."""
+    lines = [f"- {r['statement']}" for r in values.select("statement").distinct().orderBy("statement").toLocalIterator()]
     return "\n".join(["Values:", *lines]) if lines else ""

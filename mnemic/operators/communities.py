@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mnemic.session import materialize
 
 
-def communities(pairs: DataFrame, nodes: DataFrame, rounds: int = 16, resolution: float = 1.0) -> DataFrame:
+def communities(pairs: DataFrame, nodes: DataFrame, rounds: int = 200, resolution: float = 1.0) -> DataFrame:
     """(id, community) from (a, b, weight) and (id)."""
     both = materialize(pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight")), "arcs")
     strength = materialize(both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")), "strength")
@@ -38,6 +38,8 @@ def communities(pairs: DataFrame, nodes: DataFrame, rounds: int = 16, resolution
         still = 0 if new.filter("moved").limit(1).collect() else still + 1
         if still == 2:
             break
+    else:
+        raise RuntimeError(f"communities did not settle in {rounds} rounds")
     # a community is named by its smallest member
     name = label.groupBy("label").agg(F.min("id").alias("community"))
     return label.join(name, "label").select("id", "community")

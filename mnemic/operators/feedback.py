@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +9,11 @@ from pyspark.sql import functions as F
 ALPHA, BETA, GAMMA, REPETITION, FORMAT = 1.0, 0.5, 1.0, 0.5, 0.1
 
 
-def rewards(retrieved: DataFrame, gold: DataFrame, supported: DataFrame | None = None) -> DataFrame:
-    """(query_id, n_retrieved, n_gold, n_hit, recall, precision, deductive, task, total) from (query_id, key)
-    sets; queries of either side count. ``supported`` (query_id) has the queries with a gold entity active;
-    by default those with a hit."""
+def rewards(retrieved: DataFrame, gold: DataFrame, supported: DataFrame | None = None, repetition: DataFrame | None = None) -> DataFrame:
+    """(query_id, n_retrieved, n_gold, n_hit, recall, precision, deductive, repetition, format, task, total) from
+    (query_id, key) sets; queries of either side count. ``supported`` (query_id) has the queries with a gold entity
+    active; by default those with a hit. ``repetition`` (query_id, repetition) is the share of repeated edges that a
+    query used. The bonus for format is 0: answers have no format here."""
     r = retrieved.select("query_id", "key").dropna().distinct().withColumn("r", F.lit(1))
     g = gold.select("query_id", "key").dropna().distinct().withColumn("g", F.lit(1))
     j = r.join(g, ["query_id", "key"], "full")
@@ -26,7 +26,10 @@ def rewards(retrieved: DataFrame, gold: DataFrame, supported: DataFrame | None =
         a = a.join(supported.select("query_id").distinct().withColumn("d", F.lit(1.0)), "query_id", "left").withColumn("deductive", F.coalesce("d", F.lit(0.0))).drop("d")
     a = a.withColumn("recall", rec).withColumn("precision", pre)
     task = (ALPHA * F.col("recall") + BETA * F.col("precision") + GAMMA * F.col("deductive")) / (ALPHA + BETA + GAMMA)
-    return a.select("query_id", "n_retrieved", "n_gold", "n_hit", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "deductive", F.round(task, 6).alias("task"), F.round(task, 6).alias("total"))
+    a = a.join(repetition.select("query_id", "repetition"), "query_id", "left").fillna({"repetition": 0.0}) if repetition is not None else a.withColumn("repetition", F.lit(0.0))
+    a = a.withColumn("format", F.lit(0.0))
+    total = task - REPETITION * F.col("repetition") + FORMAT * F.col("format")
+    return a.select("query_id", "n_retrieved", "n_gold", "n_hit", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "deductive", F.round("repetition", 6).alias("repetition"), "format", F.round(task, 6).alias("task"), F.round(total, 6).alias("total"))
 
 
 def edge_rewards(edges: DataFrame, gold: DataFrame, total: float) -> DataFrame:
@@ -34,18 +37,3 @@ def edge_rewards(edges: DataFrame, gold: DataFrame, total: float) -> DataFrame:
     g = gold.select("id").distinct()
     at = edges.select("id", "head_id", "tail_id").join(g.select(F.col("id").alias("head_id"), F.lit(1).alias("h")), "head_id", "left").join(g.select(F.col("id").alias("tail_id"), F.lit(1).alias("t")), "tail_id", "left")
     return at.select("id", F.when(F.col("h").isNotNull() | F.col("t").isNotNull(), F.lit(total)).otherwise(F.lit(-0.5 * total)).alias("reward"))
-
-
-def scorer_step(x: np.ndarray, gold: np.ndarray, w: np.ndarray, rate: float = 5e-3, margin: float = 1.0) -> tuple[np.ndarray, float]:
-    """One supervised step of a linear scorer on a query's bounded subgraph: pairwise hinge between gold and
-    other nodes plus logistic loss. Skipped (loss 0) where there is no gold node or nothing else."""
-    if not gold.any() or gold.all():
-        return w, 0.0
-    s = x @ w
-    pos, neg = x[gold], x[~gold]
-    gap = margin - (s[gold][:, None] - s[~gold][None, :])
-    on = gap > 0
-    p = 1 / (1 + np.exp(-s))
-    loss = gap[on].sum() / on.size - np.mean(np.log(np.where(gold, p, 1 - p) + 1e-12))
-    grad = (on.sum(0) @ neg - on.sum(1) @ pos) / on.size + x.T @ (p - gold) / len(gold)
-    return w - rate * grad, float(loss)

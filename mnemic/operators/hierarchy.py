@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemic.functions import vectors as V
+from mnemic.functions.kernels import Digest, Kernel
 from mnemic.operators.communities import communities
 from mnemic.schemas import MAX_WEIGHT
 from mnemic.session import materialize
 
+DIGEST = Digest()
+#: Queries that are held against a layer at a time.
+BLOCK = 1000
+
 
 def links(hierarchy: DataFrame) -> DataFrame:
     return hierarchy.select("parent_id", "child_id").dropna().distinct()
 
 
-def parent_bundles(hierarchy: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(parent_id, pos, s, n, x): ternary bundle of each parent's children; children without a vector are zeros."""
+def parent_bundles(hierarchy: DataFrame, vectors: DataFrame, kernel: Kernel = DIGEST) -> DataFrame:
+    """(parent_id, pos, s, n, x): bundle of each parent's children; children without a vector are zeros."""
     j = links(hierarchy).join(vectors.select(F.col("id").alias("child_id"), "hv"), "child_id")
-    return V.bundle_ternary(j.select("parent_id", "hv"), ["parent_id"])
+    return kernel.bundle(j.select("parent_id", "hv"), ["parent_id"])
 
 
-def centroid_children(hierarchy: DataFrame, vectors: DataFrame) -> DataFrame:
+def centroid_children(hierarchy: DataFrame, vectors: DataFrame, kernel: Kernel = DIGEST) -> DataFrame:
     """(parent_id, child_id, similarity): the child most similar to its parent's bundle, ties to the smaller id."""
-    b = V.assembled(parent_bundles(hierarchy, vectors), ["parent_id"]).withColumnRenamed("hv", "p_hv")
+    b = V.assembled(parent_bundles(hierarchy, vectors, kernel), ["parent_id"]).withColumnRenamed("hv", "p_hv")
     j = links(hierarchy).join(vectors.select(F.col("id").alias("child_id"), "hv"), "child_id").join(b, "parent_id")
-    s = j.select("parent_id", "child_id", F.round(V.ternary_similarity(F.col("hv"), F.col("p_hv")), 6).alias("similarity"))
+    s = j.select("parent_id", "child_id", F.round(kernel.similarity(F.col("hv"), F.col("p_hv")), 6).alias("similarity"))
     best = s.groupBy("parent_id").agg(F.max(F.struct("similarity", (-F.col("child_id")).alias("c"))).alias("m"))
     return best.select("parent_id", (-F.col("m.c")).alias("child_id"), F.col("m.similarity").alias("similarity"))
 
@@ -40,12 +47,13 @@ def rollup(edges: DataFrame, hierarchy: DataFrame, layer: int = 1) -> DataFrame:
     return g.select("head_id", "tail_id", F.lit(f"__summary_L{layer}__").alias("relation"), "weight")
 
 
-def ancestors(hierarchy: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(id, ancestor_id, depth): transitive closure up the tree with the least depth."""
+def ancestors(hierarchy: DataFrame) -> DataFrame:
+    """(id, ancestor_id, depth): transitive closure up the tree with the least depth, however deep it is. Cycles end
+    where they give no new pair."""
     up = materialize(links(hierarchy).filter("parent_id <> child_id"), "up")
     front = up.select(F.col("child_id").alias("id"), F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
     seen = front
-    for depth in range(2, max_depth + 1):
+    for depth in itertools.count(2):
         step = front.join(up.select(F.col("child_id").alias("ancestor_id"), "parent_id"), "ancestor_id").select("id", F.col("parent_id").alias("ancestor_id")).distinct()
         front = materialize(step.join(seen.select("id", "ancestor_id"), ["id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
         if not front.limit(1).collect():
@@ -54,7 +62,7 @@ def ancestors(hierarchy: DataFrame, max_depth: int = 16) -> DataFrame:
     return seen
 
 
-def build(nodes: DataFrame, pairs: DataFrame, vectors: DataFrame, max_layer: int = 4, node_cap: int = 8) -> tuple[DataFrame, DataFrame]:
+def build(nodes: DataFrame, pairs: DataFrame, vectors: DataFrame, max_layer: int = 4, node_cap: int = 8, kernel: Kernel = DIGEST, resolution: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(entities, hierarchy) of the summary layers over nodes (id, canonical) and weighted pairs (a, b, weight).
 
     While a layer has more than ``node_cap`` nodes, its communities become the parents of the next; it stops
@@ -69,14 +77,14 @@ def build(nodes: DataFrame, pairs: DataFrame, vectors: DataFrame, max_layer: int
     for layer in range(1, max_layer + 1):
         if n <= node_cap:
             break
-        c = materialize(communities(arcs, level, rounds=10).select(F.col("id").alias("child_id"), F.abs("community").alias("m")), "communities")
+        c = materialize(communities(arcs, level, resolution=resolution).select(F.col("id").alias("child_id"), F.abs("community").alias("m")), "communities")
         c = c.withColumn("parent_id", -(F.lit(layer * 2**40) + F.pmod("m", F.lit(2**40))))
         m = c.select("parent_id").distinct().count()
         if m >= n:
             break
         hier = materialize(c.select("parent_id", "child_id", F.lit(layer).alias("layer")), "hierarchy")
-        bundle = materialize(V.assembled(parent_bundles(hier, hv), ["parent_id"]).select(F.col("parent_id").alias("id"), "hv"), "bundles")
-        rep = centroid_children(hier, hv).select("parent_id", F.col("child_id").alias("rep"))
+        bundle = materialize(V.assembled(parent_bundles(hier, hv, kernel), ["parent_id"]).select(F.col("parent_id").alias("id"), F.col("hv").cast("array<double>").alias("hv")), "bundles")
+        rep = centroid_children(hier, hv, kernel).select("parent_id", F.col("child_id").alias("rep"))
         sizes = hier.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"), F.min("child_id").alias("first"))
         name = lambda k: level.select(F.col("id").alias(k), F.col("canonical").alias(f"{k}_name"))
         named = sizes.join(rep, "parent_id", "left").join(name("rep"), "rep", "left").join(name("first"), "first")
@@ -88,7 +96,22 @@ def build(nodes: DataFrame, pairs: DataFrame, vectors: DataFrame, max_layer: int
     return parents, tree
 
 
-def route(queries: DataFrame, entities: DataFrame, hierarchy: DataFrame, vectors: DataFrame, beam: int = 3, leaf_beam_multiplier: int = 4) -> tuple[DataFrame, DataFrame]:
+def _stated(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, id): all rows (id) for a stated set of queries, which is held against them in blocks of ids."""
+    ids, out = [], None
+    for r in queries.select("query_id").distinct().toLocalIterator():
+        ids.append(r["query_id"])
+        if len(ids) == BLOCK:
+            out, ids = _with(out, rows, ids), []
+    return _with(out, rows, ids) if ids or out is None else out
+
+
+def _with(out: DataFrame | None, rows: DataFrame, ids: list[int]) -> DataFrame:
+    part = rows.select(F.explode(F.array(*[F.lit(i).cast("long") for i in ids]) if ids else F.array().cast("array<bigint>")).alias("query_id"), "id")
+    return part if out is None else out.unionByName(part)
+
+
+def route(queries: DataFrame, entities: DataFrame, hierarchy: DataFrame, vectors: DataFrame, beam: int = 3, leaf_beam_multiplier: int = 4, kernel: Kernel = DIGEST) -> tuple[DataFrame, DataFrame]:
     """Beam search from the top layer to the leaves for queries (query_id, hv).
 
     Returns (query_id, layer, id, similarity) of the nodes kept per layer, and (query_id, touched,
@@ -99,18 +122,16 @@ def route(queries: DataFrame, entities: DataFrame, hierarchy: DataFrame, vectors
     top = max(sizes, default=0)
     layer = entities.filter(F.col("layer") == top).select("id")
     if top == 0:
-        kept = queries.select("query_id").join(layer.withColumn("one", F.lit(1)), F.lit(True)).select("query_id", F.lit(0).alias("layer"), "id", F.lit(None).cast("double").alias("similarity"))
+        kept = _stated(queries, layer).select("query_id", F.lit(0).alias("layer"), "id", F.lit(None).cast("double").alias("similarity"))
         return kept, kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("touched"), F.lit(1.0).alias("touch_fraction"))
     q = materialize(queries, "queries")
-    # the top layer is the small end of the hierarchy; every query starts from all of it
-    packed = F.broadcast(layer.agg(F.collect_list("id").alias("ids")).withColumn("one", F.lit(1)))
-    found = q.select("query_id").withColumn("one", F.lit(1)).join(packed, "one").select("query_id", F.explode("ids").alias("id"))
+    found = _stated(q, layer)  # every query starts from all of the top layer
     all_kept, touched = None, None
     for k in range(top, -1, -1):
         width = beam if k > 0 else beam * leaf_beam_multiplier
         count = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         touched = count if touched is None else touched.unionByName(count)
-        s = found.join(vectors.select("id", "hv"), "id").join(q.select("query_id", F.col("hv").alias("q_hv")), "query_id").select("query_id", "id", F.round(V.ternary_similarity(F.col("hv"), F.col("q_hv")), 6).alias("similarity"))
+        s = found.join(vectors.select("id", "hv"), "id").join(q.select("query_id", F.col("hv").alias("q_hv")), "query_id").select("query_id", "id", F.round(kernel.similarity(F.col("hv"), F.col("q_hv")), 6).alias("similarity"))
         w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
         kept = materialize(s.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= width).select("query_id", F.lit(k).alias("layer"), "id", "similarity"), "kept")
         all_kept = kept if all_kept is None else all_kept.unionByName(kept)

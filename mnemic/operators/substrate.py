@@ -24,6 +24,11 @@ def ascii_fold(s: Column) -> Column:
     return F.translate(s, _UPPER, _LOWER)
 
 
+def source_anchor(source: Column) -> Column:
+    """The anchor that an edge's source names: lower case, nothing from '#' on, no surrounding blanks."""
+    return F.trim(F.lower(F.substring_index(source, "#", 1)))
+
+
 # --- scans and lookups ----------------------------------------------------------------------------------
 
 

@@ -280,7 +280,7 @@ ORACLE = {
       select * from s qualify row_number() over (partition by parent_id order by similarity desc, child_id) = 1""",
     "rollup_edges": """with up as (select child_id, min(parent_id) as p from hierarchy group by 1)
       select least(h.p, t.p) as head_id, greatest(h.p, t.p) as tail_id, '__summary_L1__' as relation, round(least(sum(weight), 10), 6) as weight from edges join up h on h.child_id = head_id join up t on t.child_id = tail_id where not quarantined and h.p <> t.p group by 1, 2""",
-    "hierarchy_ancestors": "with recursive l as (select distinct parent_id, child_id from hierarchy where parent_id <> child_id), a(id, ancestor_id, depth) as (select child_id, parent_id, 1 from l union select a.id, l.parent_id, depth + 1 from a join l on l.child_id = a.ancestor_id where depth < 16) select id, ancestor_id, min(depth) as depth from a group by 1, 2",
+    "hierarchy_ancestors": "with recursive l as (select distinct parent_id, child_id from hierarchy where parent_id <> child_id), a(id, ancestor_id, depth) as (select child_id, parent_id, 1 from l union select a.id, l.parent_id, depth + 1 from a join l on l.child_id = a.ancestor_id where depth < 64) select id, ancestor_id, min(depth) as depth from a group by 1, 2",
     "route_beam": _ROUTE + " select * from k2 union all select * from k1 union all select * from k0",
     "route_touched": _ROUTE + ", t as (select query_id, count(*) as touched from (select * from f2 union all select * from f1 union all select * from f0) group by 1) select query_id, touched, round(touched / (select count(*) from entities where layer = 0), 6) as touch_fraction from t",
     "cooccurrence": f"""with t as (select doc_id, text, regexp_extract_all(text, '{P.SPAN}') as m0 from documents where text is not null),
@@ -289,7 +289,7 @@ ORACLE = {
     "reward_signals": f"""with e as (select {_REL} as query_id, trim(lower(split_part(source, '#', 1))) as key, source_type, weight from edges), r as (select distinct query_id, key from e where key <> '' and weight >= 1), g as (select distinct query_id, key from e where key <> '' and lower(trim(source_type)) = 'operator'),
       a as (select coalesce(r.query_id, g.query_id) as query_id, count(r.key) as n_retrieved, count(g.key) as n_gold, count(*) filter (r.key is not null and g.key is not null) as n_hit from r full join g on g.query_id = r.query_id and g.key = r.key group by 1),
       b as (select *, coalesce(n_hit / nullif(n_gold, 0), 0) as rec, case when n_gold > 0 and n_retrieved > 0 then n_hit / n_retrieved else 0 end as pre, (n_hit > 0)::int::double as deductive from a)
-      select query_id, n_retrieved, n_gold, n_hit, round(rec, 6) as recall, round(pre, 6) as precision, deductive, round((rec + 0.5 * pre + deductive) / 2.5, 6) as task, round((rec + 0.5 * pre + deductive) / 2.5, 6) as total from b""",
+      select query_id, n_retrieved, n_gold, n_hit, round(rec, 6) as recall, round(pre, 6) as precision, deductive, 0.0::double as repetition, 0.0::double as format, round((rec + 0.5 * pre + deductive) / 2.5, 6) as task, round((rec + 0.5 * pre + deductive) / 2.5, 6) as total from b""",
     "writer_update": """with g as (select id from entities where lower(type) in ('person', 'individual')), e as (select *, case when head_id in (from g) or tail_id in (from g) then 0.8 else -0.4 end as r from edges)
       select id, round(greatest(0.0, least(10.0, weight + case when r >= 0 then 0.5 * r else 0.25 * r end)), 6) as weight, case when r >= 0 then 1722000000.0::double else last_used end as last_used from e""",
     "recall_lines": _ADDRESS + f""", tp as (select query_id, id from act qualify row_number() over (partition by query_id order by activation desc, id) <= 8), e as (select * from edges where not quarantined),

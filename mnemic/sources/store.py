@@ -10,18 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemic import schemas
+from mnemic.sources import crypto
+
+#: Columns that are encrypted at rest.
+SECRET = {"entities": ("canonical", "description"), "aliases": ("surface",), "documents": ("anchor", "text"), "edges": ("source",)}
 
 
 class Store:
     """Tables of a graph memory; ``path`` names a folder of versions, or is None for a store in memory."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, version: int | None = None) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str | None = None, version: int | None = None, key: str | None = None) -> None:
+        """``key``: what people wrote (SECRET columns) is encrypted at rest with it and decrypted on reading."""
+        self.spark, self.path, self.key = spark, path, key
         self.version = version if version is not None else (self._latest() if path else 0)
         self.tables: dict[str, DataFrame] = {}
         for t in schemas.TABLES:
             at = f"{path}/v{self.version:06d}/{t}"
-            self.tables[t] = schemas.conform(spark.read.option("mergeSchema", "true").parquet(at), t) if path and self._exists(at) else schemas.empty(spark, t)
+            self.tables[t] = self._read(at, t) if path and self._exists(at) else schemas.empty(spark, t)
+
+    def _read(self, at: str, table: str) -> DataFrame:
+        df = self.spark.read.option("mergeSchema", "true").parquet(at)
+        if self.key:
+            df = crypto.decrypt(df, [c for c in SECRET.get(table, ()) if dict(df.dtypes).get(c) == "binary"], self.key)
+        return schemas.conform(df, table)
 
     def _fs(self, at: str):
         jvm = self.spark._jvm
@@ -50,9 +61,10 @@ class Store:
             raise RuntimeError("a store in memory has no versions")
         nxt = self.version + 1
         for t, df in self.tables.items():
-            df.write.parquet(f"{self.path}/v{nxt:06d}/{t}")
+            out = crypto.encrypt(df, list(SECRET.get(t, ())), self.key) if self.key else df
+            out.write.parquet(f"{self.path}/v{nxt:06d}/{t}")
         self.version = nxt
-        self.tables = {t: schemas.conform(self.spark.read.parquet(f"{self.path}/v{nxt:06d}/{t}"), t) for t in schemas.TABLES}
+        self.tables = {t: self._read(f"{self.path}/v{nxt:06d}/{t}", t) for t in schemas.TABLES}
         return nxt
 
     def counts(self) -> dict[str, int]:

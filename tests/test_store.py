@@ -9,7 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemic import schemas
+from mnemic import cli, continuity
 from mnemic.engine import Memory
+from mnemic.functions import kernels
+from mnemic.loop import FeedbackLoop
+from mnemic.operators import propagate
+from mnemic.values import CharacterValues, ValueIntegrityError
 from mnemic.operators import beliefs as B
 from mnemic.operators import communities as C
 from mnemic.operators import feedback as Fb
@@ -164,7 +169,7 @@ def test_hierarchy(spark):
     entities, edges = store.synthetic_clusters(spark, 36, 4, 32)
     pairs = R.collapsed_sum(edges)
     nodes = entities.select("id", F.concat(F.lit("n"), "id").alias("canonical"))
-    vec = Memory._vectors(nodes)
+    vec = nodes.select("id", kernels.Digest().seed(F.col("canonical")).alias("hv"))
     parents, tree = H.build(nodes, pairs, vec, node_cap=8)
     assert 0 < parents.count() < 36 and tree.filter("layer = 1").select("child_id").distinct().count() == 36
     up = {r.id: r.ancestor_id for r in H.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "parent_id long, child_id long")).filter("depth = 3").collect()}
@@ -182,13 +187,13 @@ def test_rewards(spark):
     assert got == {1: (0.5, 0.5, 1.0, 0.7), 2: (0.0, 0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0, 0.0)}
 
 
-def test_scorer_step():
-    x, gold = np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]]), np.array([True, False, False])
-    w, first = Fb.scorer_step(x, gold, np.zeros(2), rate=0.5)
-    for _ in range(20):
-        w, loss = Fb.scorer_step(x, gold, w, rate=0.5)
-    assert loss < first and (x @ w).argmax() == 0
-    assert Fb.scorer_step(x, np.zeros(3, bool), w)[1] == 0.0
+def test_supervised_steps_raise_gold_nodes():
+    rng = np.random.default_rng(0)
+    w = propagate.Weights()
+    h, gold = rng.standard_normal((6, 64)), np.array([True, False, False, True, False, False])
+    losses = [w.supervise(h, np.zeros(6), gold) for _ in range(60)]
+    assert losses[-1] < losses[0] / 2
+    assert w.supervise(h, np.zeros(6), np.zeros(6, bool)) == 0.0 and w.supervise(h, np.zeros(6), np.ones(6, bool)) == 0.0
 
 
 def test_triples():
@@ -241,3 +246,128 @@ def test_store_versions_and_engine(spark, tmp_path):
 def test_conform_adds_missing_columns(spark):
     r = schemas.conform(spark.createDataFrame([(1, "x")], "id long, odd string"), "edges").first()
     assert (r.weight, r.source_type, r.confidence, r.quarantined, r.charge) == (1.0, "inference", 0.5, False, 0.0)
+
+
+TEXTS = [("doc-a", "Alice Stone measured the Grand Canal."), ("doc-b", "Alice Stone repaired the Old Mill."), ("doc-c", "Boris Reed painted the Tall Tower. Boris Reed closed the Grand Canal.")]
+
+
+@pytest.fixture(scope="module")
+def told(spark):
+    m = Memory(spark, kernel="ternary", dim=64)
+    m.ingest(spark.createDataFrame(TEXTS, "anchor string, text string"), 1.0)
+    return m
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_a_query_alone_is_as_in_a_batch(spark, told):
+    q = spark.createDataFrame([(1, "What did Alice Stone repair?"), (2, "Who closed the Grand Canal?")], "query_id long, text string")
+    both, one = told.read(q), told.read(q.filter("query_id = 1"))
+    for part in ("activated", "edges", "composed", "paths", "attribution", "documents"):
+        assert _rows(both[part].filter("query_id = 1")) == _rows(one[part]), part
+    assert one["edges"].count() > 0 and one["classes"].count() == 0
+
+
+def test_routing_scores_what_it_finds(spark, told):
+    told.build_hierarchy(node_cap=2)
+    q = spark.createDataFrame([(1, "What did Alice Stone repair?")], "query_id long, text string")
+    got = told.read(q, routed=True)["activated"].join(told.store["entities"].select("id", "canonical"), "id")
+    assert "Alice Stone" in {r.canonical for r in got.collect()}
+    assert told.last_route.first().touch_fraction > 0
+
+
+def test_classes_of_compositions(spark, told):
+    q = spark.createDataFrame([(1, "What did Alice Stone repair?"), (2, "Boris Reed painted what?")], "query_id long, text string")
+    whole = told.read(q)["composed"].select("query_id", "pos", F.col("x").cast("double").alias("x"))
+    from mnemic.functions import vectors
+
+    hv = vectors.assembled(whole, ["query_id"])
+    for k in (1, 2):
+        told.register_class(k, hv.filter(F.col("query_id") == k).select("hv"))
+    out = told.read(q)
+    assert {(r.query_id, r.predicted) for r in out["classes"].collect()} == {(1, 1), (2, 2)}
+    assert out["paths"].filter("rank = 1").count() == 2
+    told.classes = None
+
+
+def test_feedback_reinforces_gold_edges(spark):
+    m = Memory(spark, dim=32)
+    m.ingest(spark.createDataFrame(TEXTS, "anchor string, text string"), 1.0)
+    before = {r.id: r.weight for r in m.store["edges"].collect()}
+    alice = m.store["entities"].filter("canonical = 'Alice Stone'").first().id
+    loop = FeedbackLoop(m)
+    q = spark.createDataFrame([(1, "What did Alice Stone repair?")], "query_id long, text string")
+    e = loop.step(q, 5.0, spark.createDataFrame([(1, "doc-b")], "query_id long, anchor string"), spark.createDataFrame([(1, alice)], "query_id long, id long")).first()
+    assert e.recall == 1.0 and e.deductive == 1.0 and 0 < e.precision <= 1 and e.repetition == 0.0 and e.total > 0
+    for r in m.store["edges"].collect():
+        gold = alice in (r.head_id, r.tail_id)
+        assert (r.weight > before[r.id]) if gold else r.weight <= before[r.id]
+        assert (r.last_used == 5.0) == gold
+    assert loop.history.count() == 1 and loop.losses[0] > 0
+    loop.step(q, 6.0, half_life=1.0)
+    assert loop.history.count() == 2 and loop.losses[1] == 0.0
+
+
+def test_values_are_the_operators(spark):
+    m = Memory(spark, dim=16)
+    v = CharacterValues(m)
+    assert v.block() == ""
+    v.set(["Be kind", "Be exact"], 1.0)
+    v.set(["Be kind"], 2.0)
+    for kind in ("model", "inference", "document"):
+        with pytest.raises(ValueIntegrityError):
+            v.set(["Be vain"], 1.0, kind)
+        with pytest.raises(ValueIntegrityError):
+            v.revise("Be kind", "Be vain", 1.0, kind)
+    v.revise("be KIND", "Be kinder", 3.0)
+    m.assert_beliefs(spark.createDataFrame([("self", "__value__", "Be loud", "document")], "head string, relation string, tail string, kind string"), 4.0)
+    assert _rows(v.values()) == [("Be exact",), ("Be kinder",)] == _rows(v.relevant("anything"))
+    assert v.block().endswith("- Be exact\n- Be kinder")
+
+
+def test_beliefs_are_revised_and_corroborated(spark):
+    m = Memory(spark, dim=16)
+    say = lambda rows: spark.createDataFrame(rows, "seq long, head string, relation string, tail string, kind string, confidence double")
+    m.assert_beliefs(say([(1, "Mill", "owner", "Ann", "document", None), (2, "Mill", "colour", "red", "model", None)]).drop("seq"), 1.0)
+    m.revise(say([(1, "Mill", "owner", "Bob", "inference", 0.5), (2, "Mill", "owner", "Cid", "operator", 0.9)]), 2.0)
+    name = {r.id: r.canonical for r in m.store["entities"].collect()}
+    state = lambda: {(r.relation, name[r.tail_id]): (r.quarantined, r.confidence) for r in m.store["edges"].collect()}
+    assert state() == {("owner", "Ann"): (True, 0.05), ("owner", "Cid"): (False, 0.9), ("colour", "red"): (True, 0.2)}
+    assert m.corroborate(say([(1, "mill", "colour", "red", "document", None)])) == 1 and state()["colour", "red"] == (False, 0.8)
+    m.assert_beliefs(say([(1, "Mill", "colour", "blue", "operator", None)]).drop("seq"), 3.0)
+    name = {r.id: r.canonical for r in m.store["entities"].collect()}
+    assert m.consolidate_beliefs() == 1 and state()["colour", "red"] == (True, 0.05)
+
+
+def test_encrypted_store_over_sessions(spark, tmp_path):
+    where = str(tmp_path / "m")
+    with continuity.MemoryStore(spark, where, dim=16) as store:
+        assert store.recall("x") == "" and store.consolidate(TEXTS[0][1], "doc-a", 1.0) == 1 and store.consolidate(TEXTS[0][1], "doc-a", 2.0) == 0
+    raw = spark.read.parquet(f"{where}/v000001/documents")
+    assert dict(raw.dtypes)["text"] == "binary" and b"Alice" not in bytes(raw.first().text)
+    with continuity.MemoryStore(spark, where, dim=16) as store:
+        assert "doc-a" in store.recall("Alice Stone") and store.n_memories() >= 2
+    assert (os.stat(tmp_path / "key").st_mode & 0o777) == 0o600
+
+
+def test_kernels(spark):
+    df = spark.createDataFrame([(1, "red mill"), (2, "red mill"), (3, "blue canal")], "id long, t string")
+    for k in (kernels.kernel("real", 256), kernels.kernel("ternary", 256), kernels.kernel("digest", 256)):
+        v = df.select("id", k.seed(F.col("t")).cast("array<double>").alias("hv"))
+        j = v.alias("a").join(v.select(F.col("id").alias("other"), F.col("hv").alias("o")), F.col("id") < F.col("other"))
+        got = {(r.id, r.other): r.s for r in j.select("id", "other", k.similarity(F.col("hv"), F.col("o")).alias("s")).collect()}
+        assert got[1, 2] == pytest.approx(1.0) and got[1, 3] < 0.6
+        assert v.select((k.unpack(k.pack(F.col("hv"))).cast("array<float>") == F.col("hv").cast("array<float>")).alias("same")).first().same
+    with pytest.raises(ValueError):
+        kernels.kernel("none")
+    kernels.register("mine", kernels.Ternary, 8)
+    assert kernels.kernel("mine").dim == 8
+
+
+def test_shell(spark):
+    assert cli.feedback_arguments("who? | a, b | X") == ("who?", ["a", "b"], ["X"]) and cli.feedback_arguments("who?") is None and cli.feedback_arguments("| a") is None
+    said = []
+    cli.shell(Memory(spark, dim=16), ["/ingest Alice Stone repaired the Old Mill.", "/feedback x", "/values", "/status", "/odd", "/quit", "/ingest never"], said.append)
+    assert said[0] == "1 triples" and said[1].startswith("usage") and said[2] == "no values" and "'entities': 2" in said[3] and said[4] == "unknown command" and len(said) == 5
