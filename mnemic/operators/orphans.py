@@ -3,10 +3,11 @@
 Keys are range-partitioned; the parents of a range are held as sorted arrays; batches of references are
 probed against them by binary search; misses are aggregated per table, field and period.
 
-Skew: ranges are cut by the quantiles of the *parents*, so a range holds a bounded number of parents
-whatever the references do. A range that many references fall into (one hot key may hold a third of all
-rows) is probed in several slices, each with its own copy of the bounded parent arrays, so no task holds
-more than ``slice_rows`` references on average.
+Skew: ranges are cut by counts of the *parents*, so a range holds a bounded number of parents whatever the
+references do and however many parents there are. A range that many references fall into (one hot key may hold a
+third of all rows) is probed in several slices, each with its own copy of the bounded parent arrays, so no task
+holds more than SLICE_ROWS references on average, and copies are at most a fifth as many as references. Parents are
+one row per key; the deletions of a key are searched as one sorted array with the latest end so far.
 
 Defined results. A null or empty key is not a reference. A reference row with null ``created_at`` can
 only be an orphan because the key is missing; its period is null. NaN times compare as false. Of several
@@ -23,8 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parents a range should hold, references a slice should hold, and the most ranges that are cut.
-RANGE_ROWS, SLICE_ROWS, MAX_RANGES = 500_000, 250_000, 512
+from mnemic.session import materialize
+
+#: Parents a range may hold, references a slice should hold, cells that a part of the key space is counted in.
+RANGE_ROWS, SLICE_ROWS, CELLS = 50_000, 250_000, 4096
 #: Key spaces: integer keys are ranged by value, text keys by their 64-bit hash (the text decides).
 ENTITY, DOCUMENT = 0, 1
 
@@ -80,27 +83,81 @@ def parents(entities: DataFrame, documents: DataFrame, tombstones: DataFrame) ->
         F.col("deleted_at").alias("a"),
         F.col("restored_at").alias("b"),
     )
-    return ent.unionByName(doc).unionByName(tomb).filter("k is not null")
-
-
-def _tree(k: Column, cuts: list[int], lo: int, hi: int) -> Column:
-    """Number of the range of k as a balanced tree of comparisons (stays in generated code)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(k < F.lit(cuts[mid]), _tree(k, cuts, lo, mid)).otherwise(_tree(k, cuts, mid + 1, hi))
-
-
-def _cuts(keys: DataFrame, n: int) -> list[int]:
-    parts = min(MAX_RANGES, math.ceil(n / RANGE_ROWS))
-    if parts < 2:
-        return []
-    at = keys.stat.approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted({int(x) for x in at})
-
-
-def _run(key: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.searchsorted(key, probe, "left"), np.searchsorted(key, probe, "right")
+    # one row per key and per deletion, combined before the shuffle
+    live = ent.unionByName(doc).filter("k is not null").groupBy("space", "kind", "k", "s").agg(F.min(F.coalesce(F.when(~F.isnan("a"), F.col("a")), F.lit(float("-inf")))).alias("a"), F.max("b").alias("b"))
+    ends = F.max(F.coalesce("b", F.lit(float("inf")))).alias("b")
+    gone = tomb.filter("k is not null").groupBy("space", "kind", "k", "s", "a").agg(ends)
+    return live.unionByName(gone)
+
+
+def _cell(starts: np.ndarray, widths: np.ndarray, ends: np.ndarray):
+    """(i, c): the part of the key space that a key is in (-1 for none) and its cell there."""
+
+    @F.pandas_udf("struct<i: int, c: long>")
+    def cell(k: pd.Series) -> pd.DataFrame:
+        x = k.to_numpy(np.int64)
+        i = np.searchsorted(starts, x, "right") - 1
+        c = ((x.astype(np.uint64) - starts[i].astype(np.uint64)) // widths[i].astype(np.uint64)).astype(np.int64)
+        return pd.DataFrame({"i": np.where((i >= 0) & (x <= ends[i]), i, -1).astype(np.int32), "c": c})
+
+    return cell
+
+
+def _cuts(keys: DataFrame) -> np.ndarray:
+    """First keys of ranges that hold at most RANGE_ROWS distinct keys each (sorted; empty for one range).
+
+    Keys are counted in equal cells of the key space, and cells that hold more are counted in cells of their own, until
+    none does. A round sends at most CELLS counts for each range that is too full, of which there are at most one per
+    RANGE_ROWS keys; there are at most 64 / log2(CELLS) rounds."""
+    low, high, n = keys.agg(F.min("k"), F.max("k"), F.count(F.lit(1))).first()
+    if n <= RANGE_ROWS:
+        return np.zeros(0, np.int64)
+    full, counts = [(low, high)], []
+    while full:
+        starts = np.array([a for a, _ in full], np.int64)
+        widths = np.array([max(1, -(-(b - a + 1) // CELLS)) for a, b in full], np.int64)
+        ends = np.array([b for _, b in full], np.int64)
+        rows = keys.select(_cell(starts, widths, ends)("k").alias("x")).select("x.*").filter("i >= 0").groupBy("i", "c").agg(F.count(F.lit(1)).alias("n")).collect()
+        again = []
+        for r in rows:
+            a = int(starts[r["i"]]) + r["c"] * int(widths[r["i"]])
+            if r["n"] > RANGE_ROWS and widths[r["i"]] > 1:
+                again.append((a, min(a + int(widths[r["i"]]) - 1, full[r["i"]][1])))
+            else:
+                counts.append((a, r["n"]))
+        full = sorted(again)
+    cuts, held = [], 0
+    for a, k in sorted(counts):
+        if held and held + k > RANGE_ROWS:
+            cuts.append(a)
+            held = 0
+        held += k
+    return np.array(cuts, np.int64)
+
+
+class _Ranges:
+    """Numbers of the ranges of keys, over both key spaces."""
+
+    def __init__(self, cuts: dict[int, np.ndarray]) -> None:
+        self.cuts = cuts
+        self.offset = {ENTITY: 0, DOCUMENT: len(cuts[ENTITY]) + 1}
+        self.n = len(cuts[ENTITY]) + len(cuts[DOCUMENT]) + 2
+
+    def of(self, space: np.ndarray, k: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(k), np.int32)
+        for x in (ENTITY, DOCUMENT):
+            mine = space == x
+            out[mine] = self.offset[x] + np.searchsorted(self.cuts[x], k[mine], "right")
+        return out
+
+
+def _places(deleted: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Deletions sorted by (key code, time): codes, ranks of the times among ``times``, times, latest end so far."""
+    d = deleted.sort_values(["code", "a"], kind="stable")
+    code, a = d["code"].to_numpy(np.int64), d["a"].to_numpy(float)
+    end = pd.Series(np.where(np.isnan(d["b"].to_numpy(float)), np.inf, d["b"].to_numpy(float))).groupby(code).cummax().to_numpy()
+    times = np.unique(a)
+    return code, np.searchsorted(times, a), times, end
 
 
 def _probe(refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -112,29 +169,42 @@ def _probe(refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     n = len(refs)
     first = np.full(n, np.inf)  # earliest creation of the parent; inf where there is none
     there, gone = np.zeros(n, bool), np.zeros(n, bool)
-    for kind in (0, 1):
-        for space in (ENTITY, DOCUMENT):
-            rows = np.flatnonzero(text == (space == DOCUMENT))
-            part = known[(known["kind"] == kind) & (known["space"] == space)]
-            if not len(rows) or not len(part):
-                continue
-            part = part.sort_values("k", kind="stable")
-            pk, ps = part["k"].to_numpy(dtype="int64"), part["s"].to_numpy(dtype=object)
-            a, b = (part[c].to_numpy(dtype="float64", na_value=np.nan) for c in "ab")
-            lo, hi = _run(pk, k[rows])
-            while True:  # a key may have several rows (deletions, equal hashes)
-                live = lo < hi
-                if not live.any():
-                    break
-                rows, lo, hi = rows[live], lo[live], hi[live]
-                same = np.ones(len(rows), bool) if space == ENTITY else ps[lo] == s[rows]
-                at, of = rows[same], lo[same]
-                if kind == 0:
-                    there[at] = True
-                    first[at] = np.fmin(first[at], np.where(np.isnan(a[of]), -np.inf, a[of]))
-                else:
-                    gone[at] |= (a[of] <= t[at]) & (np.isnan(b[of]) | (b[of] > t[at]))
-                lo = lo + 1
+    for space in (ENTITY, DOCUMENT):
+        rows = np.flatnonzero(text == (space == DOCUMENT))
+        part = known[known["space"] == space].copy()
+        if not len(rows) or not len(part):
+            continue
+        part["s"] = part["s"].fillna("")
+        keys = part[["k", "s"]].drop_duplicates().sort_values(["k", "s"], kind="stable")
+        pk, ps = keys["k"].to_numpy(np.int64), keys["s"].to_numpy(dtype=object)
+        part["code"] = part.merge(keys.assign(code=np.arange(len(keys))), on=["k", "s"], how="left")["code"].to_numpy()
+        # the code of each reference's key; texts whose hashes are equal stand side by side
+        at, code = np.searchsorted(pk, k[rows], "left"), np.full(len(rows), -1)
+        open_ = np.arange(len(rows))
+        while len(open_):
+            open_ = open_[at[open_] < len(pk)]
+            open_ = open_[pk[at[open_]] == k[rows[open_]]]
+            same = np.ones(len(open_), bool) if space == ENTITY else ps[at[open_]] == s[rows[open_]]
+            code[open_[same]] = at[open_[same]]
+            open_ = open_[~same]
+            at[open_] += 1
+        hit = np.flatnonzero(code >= 0)
+        rows, code = rows[hit], code[hit]
+        made = np.full(len(keys), np.nan)
+        alive = part[part["kind"] == 0]
+        made[alive["code"].to_numpy(np.int64)] = alive["a"].to_numpy(float)
+        exists = np.zeros(len(keys), bool)
+        exists[alive["code"].to_numpy(np.int64)] = True
+        there[rows], first[rows] = exists[code], np.where(np.isnan(made[code]), -np.inf, made[code])
+        deleted = part[part["kind"] == 1]
+        if len(deleted):
+            dc, rank, times, end = _places(deleted)
+            width = len(times) + 1
+            # the last deletion of the key that is not after the reference, and the latest end of those up to it
+            i = np.searchsorted(dc * width + rank, code * width + np.searchsorted(times, t[rows], "right"), "left") - 1
+            ok = (i >= 0) & ~np.isnan(t[rows])
+            i = np.where(ok, i, 0)
+            gone[rows] = ok & (dc[i] == code) & (end[i] > t[rows])
     why = np.where(~there, 0, np.where(first > t, 1, np.where(gone, 2, -1)))
     out = pd.DataFrame({"field": refs["field"].to_numpy(), "row_id": refs["row_id"].to_numpy(), "t": t, "why": why.astype("int32")})
     return out[why >= 0]
@@ -146,23 +216,25 @@ def orphans(edges: DataFrame, aliases: DataFrame, entities: DataFrame, documents
     reason is 'missing' (no such key), 'later' (the parent was created after the reference) or 'deleted'
     (a deletion was in force); where several hold, the first of these.
     """
-    known, refs = parents(entities, documents, tombstones), references(edges, aliases)
-    cuts, ranges, offset = {}, {}, 0
-    for space in (ENTITY, DOCUMENT):
-        keys = known.filter((F.col("space") == space) & (F.col("kind") == 0)).select("k")
-        cuts[space] = _cuts(keys, keys.count())
-        ranges[space], offset = offset, offset + len(cuts[space]) + 1
-
-    def range_of() -> Column:
-        e, d = (_tree(F.col("k"), cuts[x], 0, len(cuts[x])) + ranges[x] for x in (ENTITY, DOCUMENT))
-        return F.when(F.col("space") == ENTITY, e).otherwise(d)
-
-    refs, known = refs.withColumn("r", range_of()), known.withColumn("r", range_of())
-    per = {x["r"]: x["n"] for x in refs.groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 * MAX_RANGES rows
-    slices = {r: max(1, math.ceil(per.get(r, 0) / SLICE_ROWS)) for r in range(offset)}
-    n_slices = F.element_at(F.create_map(*[F.lit(x) for kv in slices.items() for x in kv]), F.col("r"))
-    refs = refs.withColumn("slice", F.pmod(F.xxhash64("row_id", "field"), n_slices).cast("int"))
-    known = known.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1)))
+    known, refs = materialize(parents(entities, documents, tombstones), "parents"), references(edges, aliases)
+    ranges = _Ranges({x: _cuts(known.filter((F.col("space") == x) & (F.col("kind") == 0)).select("k")) for x in (ENTITY, DOCUMENT)})
+    sc = edges.sparkSession.sparkContext
+    shared = sc.broadcast(ranges)  # 8 bytes for every RANGE_ROWS parents
+
+    @F.pandas_udf("int")
+    def range_of(space: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.of(space.to_numpy(), k.to_numpy(np.int64)))
+
+    refs, known = refs.withColumn("r", range_of("space", "k")), known.withColumn("r", range_of("space", "k"))
+    per = {x["r"]: x["n"] for x in refs.groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per range
+    slices = sc.broadcast(np.array([max(1, math.ceil(per.get(r, 0) / SLICE_ROWS)) for r in range(ranges.n)], np.int64))
+
+    @F.pandas_udf("int")
+    def slices_of(r: pd.Series) -> pd.Series:
+        return pd.Series(slices.value[r.to_numpy()].astype(np.int32))
+
+    refs = refs.withColumn("slice", F.pmod(F.xxhash64("row_id", "field"), slices_of("r")).cast("int"))
+    known = known.withColumn("slice", F.explode(F.sequence(F.lit(0), slices_of("r") - 1)))
     probed = (
         refs.select("r", "slice", "field", "row_id", "space", "k", "s", "t")
         .groupBy("r", "slice")
