@@ -8,7 +8,7 @@ quota is reached, make up its part.
 What is selected is then spread over output shards by a multivariate-hypergeometric splitting tree: the
 root holds every source's exact number of blocks (runs of the permuted order), each node splits its counts
 between its halves as a draw without replacement would, and the leaves' counts are the shards' exact
-quotas. A shard's blocks are consecutive places of an affine permutation of the source's blocks, hence
+quotas (the tree is descended where needed, never built). A shard's blocks are consecutive places of an affine permutation of the source's blocks, hence
 disjoint; rows are shuffled within their shard only. Nothing but counts per source and per (source, bucket)
 reaches the driver: at most (sources) x BUCKETS rows; and no source is ever gathered in one task, except
 for the documents of one of its BUCKETS buckets, in which the partial pass ends.
@@ -40,25 +40,27 @@ from mnemic.session import materialize, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 4096
-#: Documents of a block, tokens of a shard, and the most shards.
-BLOCK_DOCS, SHARD_TOKENS, MAX_SHARDS = 16, 1 << 18, 1 << 16
+#: Documents of a block, tokens of a shard, and nodes near the root of the splitting tree that a task remembers.
+BLOCK_DOCS, SHARD_TOKENS, NODES = 16, 1 << 18, 1 << 14
 SEED = 20240229
 
 
-@functools.cache
-def _encoding(path: str, pattern: str):
+@functools.lru_cache(2)
+def _encoding(vocabulary: bytes, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, source, n_tokens) of every document with a source and at least one token."""
 
+    with open(tokenizer, "rb") as f:  # read on the driver only: a vocabulary is a file of fixed size
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer, pattern).encode_ordinary
+        encode = _encoding(shared.value, pattern).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
@@ -67,25 +69,51 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str
     return spread(docs).mapInArrow(count, "doc_id long, source string, n_tokens long").filter("n_tokens > 0")
 
 
-def split(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Leaves of the splitting tree: an array (shards, sources) whose columns sum to ``counts``; the totals
-    of two leaves differ by the rounding of the halvings only."""
-    level = counts[None, :].astype(np.int64)
-    sizes = np.array([shards])
-    while sizes.max() > 1:
-        nodes, halves = [], []
-        for node, size in zip(level, sizes, strict=True):
+class Tree:
+    """The splitting tree over shards. A node's draw depends on the seed and the node only, so any task can descend to
+    the shards it needs, and the tree is never built as a whole, however many shards there are."""
+
+    def __init__(self, counts: np.ndarray, shards: int, seed: int) -> None:
+        self.counts, self.shards, self.seed = np.asarray(counts, np.int64), shards, seed
+        self._parts: dict[int, np.ndarray] = {}
+
+    def _left(self, node: np.ndarray, size: int, number: int) -> np.ndarray:
+        part = self._parts.get(number)
+        if part is None:
+            rng = np.random.default_rng([self.seed, number])
+            part = rng.multivariate_hypergeometric(node, int(node.sum()) * (size // 2) // size, method="marginals")
+            if number < NODES:
+                self._parts[number] = part
+        return part
+
+    def find(self, source: int, at: np.ndarray) -> np.ndarray:
+        """Shards of blocks of a source, given by their places in the order in which shards draw them."""
+        out = np.empty(len(at), np.int64)
+        todo = [(self.counts, self.shards, 1, 0, np.arange(len(at)), np.asarray(at, np.int64))]
+        while todo:
+            node, size, number, first, rows, pos = todo.pop()
+            if not len(rows):
+                continue
+            if size == 1:
+                out[rows] = first
+                continue
+            part = self._left(node, size, number)
+            mine = pos < part[source]
+            todo.append((part, size // 2, 2 * number, first, rows[mine], pos[mine]))
+            todo.append((node - part, size - size // 2, 2 * number + 1, first + size // 2, rows[~mine], pos[~mine] - part[source]))
+        return out
+
+    def leaves(self) -> np.ndarray:
+        """All shards' counts, an array (shards, sources)."""
+        out, todo = np.empty((self.shards, len(self.counts)), np.int64), [(self.counts, self.shards, 1, 0)]
+        while todo:
+            node, size, number, first = todo.pop()
             if size == 1:
-                nodes.append(node)
-                halves.append(1)
+                out[first] = node
                 continue
-            left = size // 2
-            draw = int(node.sum()) * left // size
-            part = rng.multivariate_hypergeometric(node, draw, method="marginals")
-            nodes += [part, node - part]
-            halves += [left, size - left]
-        level, sizes = np.array(nodes), np.array(halves)
-    return level
+            part = self._left(node, size, number)
+            todo += [(part, size // 2, 2 * number, first), (node - part, size - size // 2, 2 * number + 1, first + size // 2)]
+        return out
 
 
 def _step(n: int, rng: np.random.Generator) -> int:
@@ -170,9 +198,9 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: float | None = None
     per = used.groupBy("source").agg(F.max("passes").alias("p"), F.max("blocks").alias("blocks"), F.max(F.when(F.col("in_last"), F.coalesce("own_block", "block"))).alias("last"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens")).orderBy("source").collect()
     names = [r["source"] for r in per]
     counts = np.array([r["p"] * r["blocks"] + (0 if r["last"] is None else r["last"] + 1) for r in per], np.int64)
-    shards = int(min(MAX_SHARDS, max(1, math.ceil(sum(r["tokens"] for r in per) / shard_tokens)))) if per else 1
+    shards = max(1, math.ceil(sum(r["tokens"] for r in per) / shard_tokens)) if per else 1
     rng = np.random.default_rng(seed)
-    ends = np.cumsum(split(counts, shards, rng), axis=0) if per else np.zeros((1, 0), np.int64)
+    tree = Tree(counts, shards, seed)
     turn = {s: (i, int(counts[i]), _step(int(counts[i]), rng), int(rng.integers(0, max(1, counts[i]))), r["blocks"]) for i, (s, r) in enumerate(zip(names, per, strict=True))}
 
     @F.pandas_udf("int")
@@ -184,7 +212,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total: float | None = None
                 kind = np.int64 if n < 1 << 31 else object  # products of larger numbers need Python's integers
                 u = copy.to_numpy()[mine].astype(kind) * blocks + block.to_numpy()[mine].astype(kind)
                 at = ((u * a + c) % n).astype(np.int64)
-                out[mine] = np.searchsorted(ends[:, i], at, "right")
+                out[mine] = tree.find(i, at)
         return pd.Series(out)
 
     uses = used.select("doc_id", "source", "n_tokens", "block", "own_block", F.explode(F.sequence(F.lit(0), F.col("repeats") - 1)).alias("n"), "passes")
