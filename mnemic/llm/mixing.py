@@ -42,6 +42,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BUCKETS = 4096
 #: Documents of a block, tokens of a shard, and nodes near the root of the splitting tree that a task remembers.
 BLOCK_DOCS, SHARD_TOKENS, NODES = 16, 1 << 18, 1 << 14
+#: Items that are drawn from at a time.
+DRAWN = 500_000_000
 SEED = 20240229
 
 
@@ -69,6 +71,21 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str
     return spread(docs).mapInArrow(count, "doc_id long, source string, n_tokens long").filter("n_tokens > 0")
 
 
+def _draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n of the counted items without replacement. More than DRAWN items are drawn from in equal strata, as the
+    generator is made for fewer."""
+    strata = -(-int(counts.sum()) // DRAWN) or 1
+    out = np.zeros_like(counts)
+    for k in range(strata):
+        part = counts * (k + 1) // strata - counts * k // strata if strata > 1 else counts
+        want = n * (k + 1) // strata - n * k // strata
+        out += rng.multivariate_hypergeometric(part, min(want, int(part.sum())), method="marginals")
+    left = n - int(out.sum())
+    if left > 0:  # strata of rounded counts may hold a few less than their share
+        out += rng.multivariate_hypergeometric(np.minimum(counts - out, DRAWN // len(counts)), left, method="marginals")
+    return out
+
+
 class Tree:
     """The splitting tree over shards. A node's draw depends on the seed and the node only, so any task can descend to
     the shards it needs, and the tree is never built as a whole, however many shards there are."""
@@ -80,8 +97,7 @@ class Tree:
     def _left(self, node: np.ndarray, size: int, number: int) -> np.ndarray:
         part = self._parts.get(number)
         if part is None:
-            rng = np.random.default_rng([self.seed, number])
-            part = rng.multivariate_hypergeometric(node, int(node.sum()) * (size // 2) // size, method="marginals")
+            part = _draw(node, int(node.sum()) * (size // 2) // size, np.random.default_rng([self.seed, number]))
             if number < NODES:
                 self._parts[number] = part
         return part

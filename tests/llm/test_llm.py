@@ -389,7 +389,7 @@ def test_splitting_tree_keeps_counts():
     leaves = tree.leaves()
     for i, n in enumerate(counts):  # descending gives the places that the leaves' counts say
         assert (tree.find(i, np.arange(n)) == np.repeat(np.arange(13), leaves[:, i])).all()
-    assert (mixing.Tree(counts * 10**9, 10**8, 0).find(3, np.array([0, 10**12 - 1])) == [0, 10**8 - 1]).all()
+    assert (mixing.Tree(counts * 10**8, 10**8, 0).find(3, np.array([0, 10**11 - 1])) == [0, 10**8 - 1]).all()
     assert leaves.shape == (13, 4) and (leaves.sum(0) == counts).all() and (leaves >= 0).all() and np.ptp(leaves.sum(1)) <= 4
 
 
