@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from mnemic.session import materialize
 
 
-def communities(pairs: DataFrame, nodes: DataFrame, rounds: int = 200, resolution: float = 1.0) -> DataFrame:
-    """(id, community) from (a, b, weight) and (id)."""
+def communities(pairs: DataFrame, nodes: DataFrame, rounds: int = 200, resolution: float = 1.0, tolerance: float = 0.01) -> DataFrame:
+    """(id, community) from (a, b, weight) and (id). Settled when in two rounds, one of each half, at most ``tolerance``
+    of the nodes moved; an error if that is not so after ``rounds``."""
     both = materialize(pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight")), "arcs")
     strength = materialize(both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")), "strength")
     twice = strength.agg(F.sum("k")).first()[0] or 1.0
     label = materialize(nodes.select("id", F.col("id").alias("label")).distinct().join(strength, "id", "left").fillna({"k": 0.0}), "labels")
-    still = 0
+    still, few = 0, tolerance * label.count()
     for i in range(rounds):
         size = label.groupBy("label").agg(F.sum("k").alias("total"))
         votes = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("weight").alias("w"))
@@ -35,7 +36,7 @@ def communities(pairs: DataFrame, nodes: DataFrame, rounds: int = 200, resolutio
         moved = label.join(ranked, "id", "left").withColumn("best", F.when(turn, -F.col("m.l")))
         new = materialize(moved.select("id", F.coalesce("best", "label").alias("label"), "k", (F.coalesce("best", "label") != F.col("label")).alias("moved")), "labels")
         label = new.select("id", "label", "k")
-        still = 0 if new.filter("moved").limit(1).collect() else still + 1
+        still = 0 if new.filter("moved").count() > few else still + 1
         if still == 2:
             break
     else:
