@@ -147,7 +147,7 @@ def activations(scores: DataFrame, temperature: float = TEMPERATURE, weights: di
     """(query_id, id, score, activation): weighted sum of channels, and its softmax over a query's entities.
 
     ``scores`` may leave out entities without any score: then ``rest`` is the number of all entities, and those
-    that are left out take part in the sum with score 0."""
+    that are left out take part in the sum with score 0; their activation is added as ``zero``."""
     if temperature <= 0:
         raise ValueError("the temperature must be positive")
     w = {**WEIGHTS, **(weights or {})}
@@ -156,7 +156,8 @@ def activations(scores: DataFrame, temperature: float = TEMPERATURE, weights: di
     top = s.groupBy("query_id").agg(F.max("score").alias("m"), F.count(F.lit(1)).alias("n")).select("query_id", F.when(F.col("n") < rest, F.greatest("m", F.lit(0.0))).otherwise(F.col("m")).alias("top"), F.greatest(F.lit(0), F.lit(rest) - F.col("n")).alias("left"))
     e = s.join(F.broadcast(top), "query_id").withColumn("e", F.exp((F.col("score") - F.col("top")) / temperature))  # one row per stated query
     z = e.groupBy("query_id").agg((F.sum("e") + F.first("left") * F.exp(-F.first("top") / temperature)).alias("z"))
-    return e.join(F.broadcast(z), "query_id").select("query_id", "id", F.round("score", 6).alias("score"), F.round(F.col("e") / F.col("z"), 9).alias("activation"))
+    none = [F.round(F.exp(-F.col("top") / temperature) / F.col("z"), 9).alias("zero")] if rest else []
+    return e.join(F.broadcast(z), "query_id").select("query_id", "id", F.round("score", 6).alias("score"), F.round(F.col("e") / F.col("z"), 9).alias("activation"), *none)
 
 
 def top_k(acts: DataFrame, k: int = 8) -> DataFrame:
@@ -165,11 +166,12 @@ def top_k(acts: DataFrame, k: int = 8) -> DataFrame:
     return acts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "activation")
 
 
-def filled(top: DataFrame, scored: DataFrame, queries: DataFrame, leaves: DataFrame, k: int = 8) -> DataFrame:
+def filled(top: DataFrame, scored: DataFrame, queries: DataFrame, leaves: DataFrame, rest: int, k: int = 8) -> DataFrame:
     """``top`` of a result without zero scores, filled up to k entities per query of ``queries``: those left out are
-    ties at the activation of score 0, so the ones with the smallest ids follow. ``scored``: the (query_id, id) that
-    have a score, ``leaves``: all entities (id)."""
-    have = queries.select("query_id").distinct().join(top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").fillna({"n": 0}).filter(F.col("n") < k)
+    ties at the activation of score 0, so the ones with the smallest ids follow. ``scored``: activations
+    (query_id, id, zero) of those that have a score, ``leaves``: all entities (id), ``rest`` in number."""
+    zero = scored.groupBy("query_id").agg(F.max("zero").alias("zero"))
+    have = queries.select("query_id").distinct().join(top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").join(zero, "query_id", "left").fillna({"n": 0, "zero": round(1 / max(1, rest), 9)}).filter(F.col("n") < k)
     # k entities and as many as may have a score already are enough: fewer than k have one in such a query
     some = [r["id"] for r in leaves.select("id").orderBy("id").limit(2 * k).collect()]
     if not some:
@@ -177,4 +179,4 @@ def filled(top: DataFrame, scored: DataFrame, queries: DataFrame, leaves: DataFr
     spare = have.withColumn("id", F.explode(F.array(*[F.lit(x).cast("long") for x in some]))).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
     w = Window.partitionBy("query_id").orderBy("id")
     more = spare.withColumn("r", F.row_number().over(w)).filter(F.col("r") + F.col("n") <= k)
-    return top.unionByName(more.select("query_id", (F.col("r") + F.col("n")).cast("int").alias("rank"), "id", F.lit(None).cast("double").alias("activation")))
+    return top.unionByName(more.select("query_id", (F.col("r") + F.col("n")).cast("int").alias("rank"), "id", F.col("zero").alias("activation")))

@@ -59,8 +59,9 @@ def _top(spark: SparkSession, d: str, semantic: bool) -> DataFrame:
     """The strongest entities from sparse scores."""
     e, plans = read(spark, d, "entities"), P.plans(_items(spark, d))
     leaf = e.filter("layer = 0").select("id")
-    acts = materialize(A.activations(materialize(A.channels(plans, e, read(spark, d, "aliases"), semantic, dense=False), "channels"), rest=leaf.count()), "activations")
-    return A.filled(A.top_k(acts, TOP), acts, plans, leaf, TOP)
+    n = leaf.count()
+    acts = materialize(A.activations(A.channels(plans, e, read(spark, d, "aliases"), semantic, dense=False), rest=n), "activations")
+    return A.filled(A.top_k(acts, TOP), acts, plans, leaf, n, TOP)
 
 
 def address_topk(spark: SparkSession, d: str) -> DataFrame:
