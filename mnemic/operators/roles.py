@@ -7,17 +7,22 @@ Self-loops are left out of everything here. Nodes without edges have no row.
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemic.session import materialize
 
-#: Edges up to which the betweenness of sampled pivots is computed on one broadcast adjacency.
-MAX_BROADCAST_EDGES = 2_000_000
+#: Arcs or nodes that a task of betweenness looks at together, and bytes of an array that it keeps in memory.
+WINDOW, ROOM = 1 << 20, 16 << 20
+#: Bits of a row's number that tell its place in its partition; those above tell the partition.
+_ROWS = (1 << 33) - 1
 
 
 def collapsed_max(edges: DataFrame) -> DataFrame:
@@ -136,60 +141,119 @@ def graph_summary(features: DataFrame, edges: DataFrame) -> DataFrame:
 def betweenness(p: DataFrame, pivots: int = 64, seed: int = 0) -> DataFrame:
     """(id, betweenness): unweighted, normalised, from min(n, pivots) sampled sources (exact where that is all).
 
-    One shortest-path pass per pivot over adjacency arrays that are broadcast while the edges number at most
-    MAX_BROADCAST_EDGES; beyond that an error asks for a sparser graph, as a pass over the whole graph per
-    pivot is inherent in the measure.
+    A shortest-path pass over the whole graph per pivot is inherent in the measure. Nodes are numbered and arcs
+    put in order by Spark; the pivots are dealt to as many tasks as there are cores, and each task reads all arcs
+    once, without a shuffle. It keeps them in a file on its own disk that it maps, and, beyond ROOM bytes each, the
+    numbers per node too, so memory bounds neither nodes nor arcs, and nothing passes through the driver.
     """
     spark = p.sparkSession
-    n_edges = p.count()
-    if n_edges > MAX_BROADCAST_EDGES:
-        raise ValueError(f"betweenness is bounded to {MAX_BROADCAST_EDGES} edges")
-    e = p.toPandas()
-    ids = np.unique(e.to_numpy().ravel())
-    if not len(ids):
+    ranged, before = _in_order(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), ["id"], "ids")
+    n = int(before[-1])
+    if not n:
         return spark.createDataFrame([], "id long, betweenness double")
-    a, b = (np.searchsorted(ids, e[c]) for c in "ab")
-    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.argsort(src, kind="stable")
-    start = np.searchsorted(src[order], np.arange(len(ids) + 1))
-    shared = spark.sparkContext.broadcast((start, dst[order]))
-    k = min(len(ids), pivots)
-    chosen = np.sort(np.random.default_rng(seed).permutation(len(ids))[:k])
-    todo = spark.createDataFrame([(int(x),) for x in chosen], "pivot int").repartition(min(k, 32))
-
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, dst = shared.value
-        acc = np.zeros(len(start) - 1)
-        for df in rows:
-            for s in df["pivot"]:
-                acc += _dependencies(start, dst, int(s))
-        at = np.flatnonzero(acc)
-        yield pd.DataFrame({"i": at, "d": acc[at]})
-
-    part = todo.mapInPandas(run, "i long, d double").groupBy("i").agg(F.sum("d").alias("d"))
-    n = len(ids)
+    starts = spark.createDataFrame([(i, int(x)) for i, x in enumerate(before[:-1])], "part int, before long")
+    index = materialize(ranged.withColumn("part", _part()).join(F.broadcast(starts), "part").select("id", (F.col("at").bitwiseAND(F.lit(_ROWS)) + F.col("before")).alias("i")), "numbered")
+    numbered = p.join(index.select(F.col("id").alias("a"), F.col("i").alias("u")), "a").join(index.select(F.col("id").alias("b"), F.col("i").alias("v")), "b")
+    both = numbered.select(F.inline(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))))
+    arcs, begin = _in_order(both.select(*[F.col(c).cast("int" if n < 1 << 31 else "long").alias(c) for c in both.columns]), ["src", "dst"], "ordered-arcs")
+    k = min(n, pivots)
+    rng = np.random.default_rng(seed)
+    chosen = np.sort(rng.permutation(n)[:k] if n <= 1 << 24 else rng.choice(n, k, replace=False))
+    tasks = min(k, spark.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = np.int32 if n < 1 << 31 else np.int64
+        start, dst, task = _room(n + 1, np.int64), _room(int(begin[-1]), small), None
+        for b in batches:
+            src, to, at, g = (b.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "at", "task"))
+            if len(g):
+                task = int(g[0])
+                dst[begin[at >> 33] + (at & _ROWS)] = to
+                np.add.at(start, src.astype(np.int64) + 1, 1)
+        if task is None:
+            return
+        np.cumsum(start, out=start)
+        total, work = _room(n, float), _Pass(n, small)
+        for s in chosen[task::tasks]:
+            work.add(start, dst, int(s), total)
+        for lo in range(0, n, WINDOW):
+            at = np.flatnonzero(total[lo : lo + WINDOW])
+            yield pa.RecordBatch.from_arrays([pa.array(at + lo, pa.int64()), pa.array(total[lo : lo + WINDOW][at], pa.float64())], ["i", "d"])
+
+    # one partition of all arcs per task; the first part, of no rows, keeps Spark from running single partitions as one
+    whole = functools.reduce(DataFrame.union, [arcs.filter("at < 0").withColumn("task", F.lit(-1)), *[arcs.coalesce(1).withColumn("task", F.lit(t)) for t in range(tasks)]])
+    part = whole.mapInArrow(run, "i long, d double").groupBy("i").agg(F.sum("d").alias("d"))
     scale = n / k / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    names = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "id": ids}))
-    return names.join(part, "i", "left").select("id", F.round(F.coalesce("d", F.lit(0.0)) * scale, 6).alias("betweenness"))
-
-
-def _dependencies(start: np.ndarray, dst: np.ndarray, s: int) -> np.ndarray:
-    """Brandes' dependencies of all nodes on one source, level by level in numpy."""
-    n = len(start) - 1
-    dist, sigma = np.full(n, -1), np.zeros(n)
-    dist[s], sigma[s] = 0, 1
-    levels, front = [], np.array([s])
-    while len(front):
-        u = np.repeat(front, start[front + 1] - start[front])
-        v = np.concatenate([dst[start[x] : start[x + 1]] for x in front]) if len(front) else front
-        fresh = dist[v] < 0
-        dist[v[fresh]] = dist[s] + len(levels) + 1
-        step = dist[v] == len(levels) + 1
-        np.add.at(sigma, v[step], sigma[u[step]])
-        levels.append((u[step], v[step]))
-        front = np.unique(v[fresh])
-    delta = np.zeros(n)
-    for u, v in reversed(levels):
-        np.add.at(delta, u, sigma[u] / sigma[v] * (1 + delta[v]))
-    delta[s] = 0
-    return delta
+    return index.join(part, "i", "left").select("id", F.round(F.coalesce("d", F.lit(0.0)) * scale, 6).alias("betweenness"))
+
+
+def _part() -> Column:
+    return F.shiftrightunsigned("at", 33).cast("int")
+
+
+def _in_order(df: DataFrame, by: list[str], name: str) -> tuple[DataFrame, np.ndarray]:
+    """``df`` with ``at``, its row's partition and place in the order of ``by``, as written; and the rows before each
+    partition, all rows last."""
+    out = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), name)
+    rows = {r["part"]: r["n"] for r in out.groupBy(_part().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return out, np.cumsum([0, *(rows.get(i, 0) for i in range(max(rows, default=-1) + 1))])
+
+
+def _room(n: int, dtype: type) -> np.ndarray:
+    """Zeros: in memory up to ROOM bytes, else in a mapped file without a name, which goes when the task ends."""
+    if n * np.dtype(dtype).itemsize <= ROOM:
+        return np.zeros(n, dtype)
+    with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as f:
+        return np.memmap(f, dtype, "w+", shape=(n,))
+
+
+def _leaving(start: np.ndarray, dst: np.ndarray, front: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The arcs that leave the nodes of ``front``, at most WINDOW at a time: nodes, their numbers of arcs (none is 0),
+    the arcs' other ends. A node of many arcs comes in several windows."""
+    for f in range(0, len(front), WINDOW):
+        nodes = np.asarray(front[f : f + WINDOW])
+        first = np.asarray(start[nodes])
+        ends = np.cumsum(start[nodes + 1] - first)
+        shift = first - np.concatenate([[0], ends[:-1]])
+        for lo in range(0, int(ends[-1]), WINDOW):
+            hi = min(lo + WINDOW, int(ends[-1]))
+            x, y = np.searchsorted(ends, [lo, hi - 1], side="right")
+            cut = np.concatenate([[lo], ends[x:y], [hi]])
+            many = np.diff(cut)
+            yield nodes[x : y + 1], many, np.asarray(dst[np.repeat(shift[x : y + 1], many) + np.arange(lo, hi)])
+
+
+class _Pass:
+    """Brandes' dependencies of all nodes on one source, level by level; its arrays serve one source after another."""
+
+    def __init__(self, n: int, small: type) -> None:
+        self.dist, self.order, self.slot = (_room(n, small) for _ in range(3))
+        self.sigma, self.delta, self.share = (_room(n, float) for _ in range(3))
+
+    def add(self, start: np.ndarray, dst: np.ndarray, s: int, total: np.ndarray) -> None:
+        dist, order, slot, sigma, delta, share = self.dist, self.order, self.slot, self.sigma, self.delta, self.share
+        dist[:], sigma[:], delta[:], share[:] = -1, 0, 0, 0
+        dist[s], sigma[s], order[0] = 0, 1, s
+        level = [0, 1]  # where each level begins in order
+        while level[-1] > level[-2]:
+            depth, end = len(level) - 1, level[-1]
+            for nodes, many, v in _leaving(start, dst, order[level[-2] : level[-1]]):
+                d = dist[v]
+                fresh = v[d < 0]
+                at = np.arange(len(fresh))
+                slot[fresh] = at
+                fresh = fresh[slot[fresh] == at]  # each once
+                dist[fresh] = depth
+                order[end : end + len(fresh)] = fresh
+                end += len(fresh)
+                step = (d < 0) | (d == depth)
+                np.add.at(sigma, v[step], np.repeat(sigma[nodes], many)[step])
+            level.append(end)
+        # a node's arcs lead to its own level and the two beside it; of these only the one below has shares yet
+        for depth in range(len(level) - 3, 1, -1):
+            for lo in range(level[depth], level[depth + 1], WINDOW):
+                nodes = order[lo : min(lo + WINDOW, level[depth + 1])]
+                share[nodes] = (1 + delta[nodes]) / sigma[nodes]
+            for nodes, many, v in _leaving(start, dst, order[level[depth - 1] : level[depth]]):
+                delta[nodes] += sigma[nodes] * np.add.reduceat(share[v], np.cumsum(many) - many)
+        total += delta

@@ -56,7 +56,7 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return R.betweenness(R.pairs(leaves(spark, d)))
+    return R.betweenness(materialize(R.pairs(leaves(spark, d)), "pairs"))
 
 
 def structural_roles(spark: SparkSession, d: str) -> DataFrame:

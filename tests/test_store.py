@@ -155,6 +155,46 @@ def test_betweenness_of_a_bridge(spark):
     assert R.betweenness(p.limit(0)).count() == 0
 
 
+def test_betweenness_of_more_than_two_million_edges(spark):
+    leaves = 2_000_001
+    got = R.betweenness(spark.range(1, leaves + 1).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")), pivots=2)
+    n, top = got.agg(F.count(F.lit(1)), F.max_by("id", "betweenness")).first()
+    assert n == leaves + 1 and top == 0 and [r.betweenness for r in got.filter("betweenness <> 0").collect()] == [1.0]
+
+
+def test_betweenness_in_windows_and_files(monkeypatch):
+    adj = {}
+    for a, b in _random_graph():
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    ids = sorted(adj)
+    at = {x: i for i, x in enumerate(ids)}
+    dst = np.array([at[y] for x in ids for y in sorted(adj[x])])
+    start = np.cumsum([0, *(len(adj[x]) for x in ids)])
+
+    def paths(s):
+        """Lengths and numbers of shortest paths from s."""
+        dist, count, todo = {s: 0}, {s: 1}, [s]
+        for x in todo:
+            for y in adj[x]:
+                if y not in dist:
+                    dist[y], count[y] = dist[x] + 1, 0
+                    todo.append(y)
+                if dist[y] == dist[x] + 1:
+                    count[y] += count[x]
+        return dist, count
+
+    every = {x: paths(x) for x in ids}
+    want = [sum(every[s][1][v] * every[v][1][t] / every[s][1][t] for s in ids for t in every[s][0] if v not in (s, t) and v in every[s][0] and every[s][0][v] + every[v][0][t] == every[s][0][t]) for v in ids]
+    for window, room in ((3, 0), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(R, "WINDOW", window)
+        monkeypatch.setattr(R, "ROOM", room)
+        total, work = R._room(len(ids), float), R._Pass(len(ids), np.int32)
+        for s in range(len(ids)):
+            work.add(start, dst, s, total)
+        assert np.allclose(total, want)
+
+
 def test_communities_separate_cliques_and_keep_isolates(spark):
     a, b = (list(itertools.combinations(range(s, s + 6), 2)) for s in (0, 10))
     p = spark.createDataFrame([(*x, 1.0) for x in a + b + [(0, 10)]], "a long, b long, weight double")
