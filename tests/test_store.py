@@ -23,6 +23,7 @@ from mnemic.operators import roles as R
 from mnemic.operators import substrate as S
 from mnemic.operators import writer as W
 from mnemic.operators.addressing import activations
+from mnemic.plans.graph_queries import structural_roles
 from mnemic.sources import crypto, store
 
 EDGES = schemas.TABLES["edges"]
@@ -162,6 +163,14 @@ def test_betweenness_of_more_than_two_million_edges(spark):
     assert n == leaves + 1 and top == 0 and [r.betweenness for r in got.filter("betweenness <> 0").collect()] == [1.0]
 
 
+def test_structural_roles_of_more_than_two_million_edges(spark, tmp_path):
+    leaves = 2_000_001
+    spark.range(leaves + 1).select("id", F.lit(0).alias("layer")).write.parquet(f"{tmp_path}/entities.parquet")
+    spark.range(1, leaves + 1).select("id", F.lit(0).cast("long").alias("head_id"), F.col("id").alias("tail_id"), F.lit(1.0).alias("weight"), F.lit(False).alias("quarantined")).write.parquet(f"{tmp_path}/edges.parquet")
+    got = structural_roles(spark, str(tmp_path))
+    assert got.groupBy("degree", "clustering", "betweenness").count().sort("degree").collect() == [(1, 0.0, 0.0, leaves), (leaves, 0.0, 1.0, 1)]
+
+
 def test_betweenness_in_windows_and_files(monkeypatch):
     adj = {}
     for a, b in _random_graph():
