@@ -40,6 +40,11 @@ def pairs(edges: DataFrame) -> DataFrame:
     return edges.filter("head_id <> tail_id").select(F.least("head_id", "tail_id").alias("a"), F.greatest("head_id", "tail_id").alias("b")).distinct()
 
 
+def counted_pairs(edges: DataFrame) -> DataFrame:
+    """(a, b, n), a <= b: undirected edges with the number of rows that each stands for; self-loops too."""
+    return edges.groupBy(F.least("head_id", "tail_id").alias("a"), F.greatest("head_id", "tail_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def simple_degree(p: DataFrame) -> DataFrame:
     """(id, degree): number of distinct neighbours."""
     return p.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
@@ -57,8 +62,8 @@ def triangles(p: DataFrame, degree: DataFrame) -> DataFrame:
     d = materialize(_directed(p, degree), "directed")
     one = d.select("lo", F.col("hi").alias("y"))
     two = d.select("lo", F.col("hi").alias("z"))
-    wedge = one.join(two, "lo").filter("y <> z")
-    return wedge.join(d.select(F.col("lo").alias("y"), F.col("hi").alias("z")), ["y", "z"]).select(F.col("lo").alias("x"), "y", "z")
+    wedge = one.join(two, "lo").filter("y < z")  # once, not in both orders
+    return wedge.join(d.select(F.least("lo", "hi").alias("y"), F.greatest("lo", "hi").alias("z")), ["y", "z"]).select(F.col("lo").alias("x"), "y", "z")
 
 
 def clustering(p: DataFrame) -> DataFrame:

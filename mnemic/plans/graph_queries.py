@@ -60,9 +60,13 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structural_roles(spark: SparkSession, d: str) -> DataFrame:
-    e = leaves(spark, d)
-    p = materialize(R.pairs(e), "pairs")
-    return S.degree(e).withColumn("log_degree", F.round(F.log1p("degree"), 6)).join(R.clustering(p).select("id", "clustering"), "id", "left").join(R.betweenness(p), "id", "left").fillna(0.0)
+    counted = materialize(R.counted_pairs(S.leaf_graph(read(spark, d, "edges"), read(spark, d, "entities"))), "counted-pairs")
+    p = counted.filter("a <> b").select("a", "b")
+    degree = counted.select(F.explode(F.array("a", "b")).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("degree"))
+    # one after the other: together, both hold their files and memory at once, and a broadcast may wait for the other's tasks
+    between = materialize(R.betweenness(p), "betweenness")
+    clustered = materialize(R.clustering(p).select("id", "clustering"), "clustering")
+    return degree.withColumn("log_degree", F.round(F.log1p("degree"), 6)).join(clustered, "id", "left").join(between, "id", "left").fillna(0.0)
 
 
 def graph_components(spark: SparkSession, d: str) -> DataFrame:

@@ -171,6 +171,32 @@ def test_structural_roles_of_more_than_two_million_edges(spark, tmp_path):
     assert got.groupBy("degree", "clustering", "betweenness").count().sort("degree").collect() == [(1, 0.0, 0.0, leaves), (leaves, 0.0, 1.0, 1)]
 
 
+def test_structural_roles_shuffle_each_open_triangle_once(spark, tmp_path):
+    n = 120
+    once = list(itertools.combinations(range(n), 2))
+    edges = [*once, *((b, a) for a, b in once[: n - 1]), (5, 5), (n, n)]  # node 0 of parallel edges, two self-loops
+    spark.range(n + 1).select("id", F.lit(0).alias("layer")).write.parquet(f"{tmp_path}/entities.parquet")
+    rows = [(i, a, b, 1.0, False) for i, (a, b) in enumerate(edges)]
+    spark.createDataFrame(rows, "id long, head_id long, tail_id long, weight double, quarantined boolean").write.parquet(f"{tmp_path}/edges.parquet")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        none = spark.sparkContext._jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.id: (r.degree, r.clustering) for r in structural_roles(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    degree = {x: sum((a == x) + (b == x) for a, b in edges) for x in range(n + 1)}
+    assert got == {x: (degree[x], 1.0 if x < n else 0.0) for x in range(n + 1)}
+    assert sum(k for i, k in shuffled().items() if i not in before) < 2 * len(list(itertools.combinations(range(n), 3)))
+
+
 def test_betweenness_in_windows_and_files(monkeypatch):
     adj = {}
     for a, b in _random_graph():
